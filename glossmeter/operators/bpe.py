@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from glossmeter.counters import TextCounter
+from glossmeter.counters import TextCounter, order_key
+from glossmeter.operators.indexing import number_rows
 
 # Fixed value: the split pattern of the gpt2 / r50k / p50k encodings.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,27 +190,32 @@ def joined_pieces(units: DataFrame, pattern: str = SPLIT_PATTERN) -> DataFrame:
     need single-line sentences.
     """
     spaces = F.lit(_SPACES)
-    at = F.col("sentence_idx")
-    keys = ["corpus", "lang"]
-    cut = units.select(*keys, "sentence_idx", "text",
-                       F.ltrim("text", spaces).alias("_right"), F.rtrim("text", spaces).alias("_left"))
+    keys, order = ["corpus", "lang"], order_key(units)
+    cut = units.select(*keys, order, "text", F.ltrim("text", spaces).alias("_right"),
+                       F.rtrim("text", spaces).alias("_left"))
     lead = F.substr("text", F.lit(1), F.char_length("text") - F.char_length("_right"))
     tail = F.substr("text", F.char_length("_left") + 1, F.char_length("text"))
-    cut = cut.select(*keys, "sentence_idx", lead.alias("_lead"), tail.alias("_tail"),
-                     F.rtrim("_right", spaces).alias("_core"))
-    glued = F.when(F.col("_lead") != "", F.right("_lead", F.lit(1))).when(at > 0, " ").otherwise("")
-    main = piece_counts(cut.select(*keys, F.concat(glued, F.col("_core")).alias("text")), keys, pattern=pattern)
-
-    leads = cut.where(F.col("_lead") != "").select(*keys, "sentence_idx", "_lead")
-    tails = cut.where(F.col("_tail") != "").select(*keys, (at + 1).alias("sentence_idx"), "_tail")
-    ends = units.groupBy(*keys).agg((F.max("sentence_idx") + 1).alias("_end"))
+    cut = cut.select(*keys, order, lead.alias("_lead"), tail.alias("_tail"), F.rtrim("_right", spaces).alias("_core"))
+    # one row per corpus and language, so the text stays where it is
+    firsts = F.broadcast(units.groupBy(*keys).agg(F.min(order).alias("_first")))
+    joiner = F.when(F.col(order) == F.col("_first"), "").otherwise(" ")
+    main = (cut.join(firsts, keys)
+            .select(*keys, F.concat(F.when(F.col("_lead") != "", F.right("_lead", F.lit(1))).otherwise(joiner),
+                                    F.col("_core")).alias("text")))
+
+    narrow = cut.select(*keys, order, "_lead", "_tail")
+    if order != "sentence_idx":
+        narrow = number_rows(narrow, keys, order, "sentence_idx")
+    at = F.col("sentence_idx")
+    leads = narrow.where(F.col("_lead") != "").select(*keys, "sentence_idx", "_lead")
+    tails = narrow.where(F.col("_tail") != "").select(*keys, (at + 1).alias("sentence_idx"), "_tail")
+    ends = F.broadcast(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_end")))
     runs = leads.join(tails, [*keys, "sentence_idx"], "full").join(ends, keys)
     before, after = F.coalesce("_tail", F.lit("")), F.coalesce("_lead", F.lit(""))
     joined = F.concat(before, F.when(at > 0, " ").otherwise(""), after)
-    rest = F.when(at == F.col("_end"), before).otherwise(
-        F.substr(joined, F.lit(1), F.char_length(joined) - 1))
-    longer = piece_counts(runs.select(*keys, rest.alias("text")).where(F.col("text") != ""), keys, pattern=pattern)
-    return main.unionByName(longer).groupBy(*keys, "piece").agg(F.sum("n").alias("n"))
+    rest = F.when(at == F.col("_end"), before).otherwise(F.substr(joined, F.lit(1), F.char_length(joined) - 1))
+    longer = runs.select(*keys, rest.alias("text")).where(F.col("text") != "")
+    return piece_counts(main.unionByName(longer), keys, pattern=pattern)
 
 
 @dataclass(frozen=True)

@@ -18,10 +18,13 @@ FANOUT_BITS = 14
 LEVELS = 3      # 2**42 sentences per language
 
 
-def language_roots(units: DataFrame) -> DataFrame:
-    """(corpus, lang, n_sentences, root) over the text in order of sentence_idx."""
-    level = units.select("corpus", "lang", F.col("sentence_idx").alias("_at"),
-                         F.sha2("text", 256).alias("_d"), F.lit(1).cast("bigint").alias("_n"))
+def language_roots(digests: DataFrame) -> DataFrame:
+    """(corpus, lang, n_sentences, root) from the SHA-256 ``digest`` of every sentence.
+
+    Digests are taken where the text is scanned, so the text itself is not shuffled.
+    """
+    level = digests.select("corpus", "lang", F.col("sentence_idx").alias("_at"),
+                           F.col("digest").alias("_d"), F.lit(1).cast("bigint").alias("_n"))
     for _ in range(LEVELS):
         ordered = F.array_sort(F.collect_list(F.struct("_at", "_d")))
         level = (level.withColumn("_up", F.shiftright("_at", FANOUT_BITS))
@@ -32,9 +35,9 @@ def language_roots(units: DataFrame) -> DataFrame:
     return level.select("corpus", "lang", F.col("_n").alias("n_sentences"), F.col("_d").alias("root"))
 
 
-def corpus_fingerprints(units: DataFrame, languages: Sequence[str]) -> DataFrame:
+def corpus_fingerprints(digests: DataFrame, languages: Sequence[str]) -> DataFrame:
     """One fingerprint per corpus: its language roots in configured order."""
-    roots = language_roots(units.where(F.col("lang").isin(list(languages))))
+    roots = language_roots(digests.where(F.col("lang").isin(list(languages))))
     place = F.array_position(F.array(*[F.lit(l) for l in languages]), F.col("lang"))
     ordered = F.array_sort(F.collect_list(F.struct(
         place.alias("at"), F.concat_ws(":", "lang", F.col("n_sentences"), "root").alias("leaf"))))

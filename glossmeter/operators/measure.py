@@ -49,40 +49,48 @@ def raw_counts(counted: DataFrame, counters: Sequence[TextCounter], measured_on:
                        "_e.n_tokens", "_e.n_tokens_content", "_e.envelope_tokens", "n_chars")
 
 
-def aggregate_counts(units: DataFrame, counters: Sequence[TextCounter], measured_on: str) -> DataFrame:
-    """One count of the joined corpus per corpus x counter x language, long.
+AGG_COLUMNS = ["corpus", "counter_id", "lang", "spec", "measured_on", "total_tokens", "total_chars"]
 
-    ``total_tokens`` counts ``" ".join(sentences)`` in one call, frame included;
-    ``total_chars`` sums the sentences and leaves the joining spaces out. For additive counters
-    both come from one aggregation with map-side combine.
-    """
-    additive = [c for c in counters if c.joiner is not None]
-    counted = count_units(units, additive, ["corpus", "lang"])
-    sums = [F.sum(f"_t{i}").alias(f"_s{i}") for i in range(len(additive))]
-    counts = [F.count(f"_t{i}").alias(f"_n{i}") for i in range(len(additive))]
-    chars = F.sum("n_chars").alias("total_chars")
-    totals = counted.groupBy("corpus", "lang").agg(chars, *sums, *counts)
+
+def additive_totals(counted: DataFrame, counters: Sequence[TextCounter], measured_on: str) -> DataFrame:
+    """Aggregate rows of additive counters from counted units: one aggregation, map-side combined."""
+    aggs = [F.sum("n_chars").alias("total_chars")]
+    for i, c in enumerate(counters):
+        if c.joiner is not None:
+            aggs += [F.sum(f"_t{i}").alias(f"_s{i}"), F.count(f"_t{i}").alias(f"_n{i}")]
     entries = []
-    for i, c in enumerate(additive):
+    for i, c in enumerate(counters):
+        if c.joiner is None:
+            continue
         total = F.col(f"_s{i}") + F.lit(c.joiner) * (F.col(f"_n{i}") - 1) + F.lit(c.frame)
         entries.append(F.when(F.col(f"_n{i}") > 0, F.struct(
             F.lit(c.counter_id).alias("counter_id"), F.lit(c.spec).alias("spec"),
             F.lit(measured_on).alias("measured_on"), total.cast("bigint").alias("total_tokens"))))
-    order = ["corpus", "counter_id", "lang", "spec", "measured_on", "total_tokens", "total_chars"]
-    parts = []
+    long = counted.groupBy("corpus", "lang").agg(*aggs).select(
+        "corpus", "lang", "total_chars",
+        F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
+    return long.select("corpus", "lang", "total_chars", "_e.*").select(*AGG_COLUMNS)
+
+
+def joined_totals(units: DataFrame, counter: TextCounter, measured_on: str) -> DataFrame:
+    """Aggregate rows of a counter that has to see the joined corpus; units need sentence_idx."""
+    chars = units.groupBy("corpus", "lang").agg(F.sum(F.char_length("text").cast("bigint")).alias("total_chars"))
+    rows = counter.joined_totals(units).join(chars, ["corpus", "lang"])
+    return rows.select("corpus", F.lit(counter.counter_id).alias("counter_id"), "lang",
+                       F.lit(counter.spec).alias("spec"), F.lit(measured_on).alias("measured_on"),
+                       (F.col("total") + F.lit(counter.frame)).cast("bigint").alias("total_tokens"), "total_chars")
+
+
+def aggregate_counts(units: DataFrame, counters: Sequence[TextCounter], measured_on: str) -> DataFrame:
+    """One count of the joined corpus per corpus x counter x language, long.
+
+    ``total_tokens`` counts ``" ".join(sentences)`` in one call, frame included;
+    ``total_chars`` sums the sentences and leaves the joining spaces out.
+    """
+    additive = [c for c in counters if c.joiner is not None]
+    parts = [joined_totals(units, c, measured_on) for c in counters if c.joiner is None]
     if additive:
-        long = totals.select("corpus", "lang", "total_chars", F.explode(
-            F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-        parts.append(long.select("corpus", "lang", "total_chars", "_e.*").select(*order))
-    plain = units.groupBy("corpus", "lang").agg(
-        F.sum(F.char_length("text").cast("bigint")).alias("total_chars"))
-    for c in counters:
-        if c.joiner is None:
-            joined = c.joined_totals(units).join(plain, ["corpus", "lang"])
-            parts.append(joined.select(
-                "corpus", F.lit(c.counter_id).alias("counter_id"), "lang", F.lit(c.spec).alias("spec"),
-                F.lit(measured_on).alias("measured_on"),
-                (F.col("total") + F.lit(c.frame)).cast("bigint").alias("total_tokens"), "total_chars"))
+        parts.append(additive_totals(count_units(units, additive, ["corpus", "lang"]), additive, measured_on))
     return reduce(DataFrame.unionByName, parts)
 
 

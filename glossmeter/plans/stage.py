@@ -1,0 +1,32 @@
+"""Written intermediate tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
+
+    A local session without the setting gets a temporary folder; a cluster has to name one,
+    since executors share no local disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="glossmeter-")
+
+
+def staged(frame: DataFrame) -> DataFrame:
+    """Write a frame once and go on from the written table.
+
+    Cuts the lineage, survives the loss of executors, and saves a second pass over the text.
+    """
+    path = f"{stage_dir(frame.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
