@@ -17,8 +17,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Plain fixed-point text."""
-    return F.format_string(f"%.{digits}f", round_even(x, digits))
+    """Plain fixed-point text, null for null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_even(x, digits)))
 
 
 # Number and date conventions of the two display locales.

@@ -11,12 +11,15 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from glossmeter.counters import TextCounter, order_key
 from glossmeter.operators.indexing import number_rows
+from glossmeter.stage import staged
 
 # Fixed value: the split pattern of the gpt2 / r50k / p50k encodings.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,7 +146,7 @@ def tokens_by_size(pieces: DataFrame, group: Sequence[str], ranks: _Ranks, sizes
     """(group, vocab_size, n_tokens) for every truncation of the vocabulary.
 
     Every distinct piece is encoded once per size inside one batch function; sizes are not
-    joined to the text.
+    joined to the text. ``pieces`` is read twice, so pass a written table.
     """
     cuts = [float(s) for s in sizes]
 
@@ -226,7 +229,7 @@ class VocabularyCounter(TextCounter):
     pattern: str = SPLIT_PATTERN
 
     def joined_totals(self, units: DataFrame) -> DataFrame:
-        totals = tokens_by_size(joined_pieces(units, self.pattern), ["corpus", "lang"], self.ranks, [float("inf")])
+        totals = tokens_by_size(staged(joined_pieces(units, self.pattern)), ["corpus", "lang"], self.ranks, [float("inf")])
         return totals.select("corpus", "lang", F.col("n_tokens").alias("total"))
 
 
@@ -258,14 +261,64 @@ def align(tokens: Iterable[int], decode: Callable[[list[int]], str]) -> list[tup
     return groups
 
 
+class _Aligner:
+    """Alignment of many texts under one vocabulary.
+
+    Tokens that decode on their own, nearly all of them, are groups of one and are looked up;
+    only the places in between walk through the buffering rule.
+    """
+
+    def __init__(self, encoder):
+        self.encoder = encoder
+        alone = [encoder.decode([t]) for t in range(encoder.n_vocab)]
+        self.texts = np.array(alone, dtype=object)
+        self.whole = np.array([bool(t) and t != INCOMPLETE for t in alone])
+
+    def groups(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Token ids, group sizes and group texts of one text, dropped rest excluded."""
+        ids = np.asarray(self.encoder.encode(text), dtype=np.int64)
+        whole = self.whole[ids] if len(ids) else np.zeros(0, dtype=bool)
+        odd = np.flatnonzero(~whole)
+        sizes, texts, at = [], [], 0
+        while at < len(ids):
+            k = np.searchsorted(odd, at)
+            stop = int(odd[k]) if k < len(odd) else len(ids)
+            if stop > at:
+                sizes.append(np.ones(stop - at, dtype=np.int64))
+                texts.extend(self.texts[ids[at:stop]])
+                at = stop
+                continue
+            end = at + 1
+            while end <= len(ids):
+                found = self.encoder.decode(ids[at:end].tolist())
+                if found and found != INCOMPLETE:
+                    break
+                end += 1
+            if end > len(ids):
+                break
+            sizes.append(np.array([end - at]))
+            texts.append(found)
+            at = end
+        return ids[:at], (np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)), texts
+
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
 def align_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Column], Column]:
     """Whole texts to their aligned (tokens, text) groups."""
-    @F.pandas_udf(ALIGNED)
-    def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoding(ranks, pattern)
+    @F.arrow_udf(ALIGNED)
+    def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        aligner = _Aligner(_encoding(ranks, pattern))
         for batch in batches:
-            yield batch.map(lambda s: [{"tokens": t, "text": x} for t, x in align(encoder.encode(s), encoder.decode)],
-                            na_action="ignore")
+            parts = [aligner.groups(s or "") for s in batch.to_pylist()]
+            ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, dtype=np.int64)])
+            sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, dtype=np.int64)])
+            tokens = pa.ListArray.from_arrays(_offsets(sizes), pa.array(ids))
+            texts = pa.array([t for p in parts for t in p[2]], pa.string())
+            groups = pa.StructArray.from_arrays([tokens, texts], ["tokens", "text"])
+            yield pa.ListArray.from_arrays(_offsets([len(p[1]) for p in parts]), groups)
     return aligned
 
 

@@ -15,6 +15,7 @@ from glossmeter.operators import (bpe, carry, charts, coincidence, cost, fingerp
 from glossmeter.plans import workload as W
 from glossmeter.plans.workload import DIMS, Workload
 from glossmeter.sources import lines, tables
+from glossmeter.stage import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,7 +30,7 @@ def query(build: Callable[[Workload], DataFrame]) -> Callable[[Workload], DataFr
 
 @query
 def corpus_lines(w: Workload) -> DataFrame:
-    docs = w.table("documents").select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_idx", "text"))
+    docs = w.documents.select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("line_idx", "text"))
     return docs.select("doc_id", F.col("line_idx").cast("bigint").alias("line_idx"),
                        T.char_count(F.col("text")).alias("n_chars"), "text")
 
@@ -38,7 +39,7 @@ def corpus_lines(w: Workload) -> DataFrame:
 def blank_line_check(w: Workload) -> DataFrame:
     found = F.filter(F.transform(T.split_lines(F.col("text")), lambda l, i: F.when(T.is_blank(l), i)),
                      lambda i: i.isNotNull())
-    rows = w.table("documents").select("doc_id", found.alias("_at")).where(F.size("_at") > 0)
+    rows = w.documents.select("doc_id", found.alias("_at")).where(F.size("_at") > 0)
     return rows.select("doc_id", F.size("_at").cast("bigint").alias("n_blank"),
                        F.array_join(F.col("_at").cast("array<string>"), ",").alias("blank_at"))
 
@@ -110,14 +111,14 @@ DECOMPOSED = {c: unicodedata.normalize("NFD", c) for c in "éèêçäöüñóí
 @query
 def nfc_normalize(w: Workload) -> DataFrame:
     raw = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), DECOMPOSED.items(), F.col("text"))
-    rows = w.table("documents").select("doc_id", raw.alias("_raw")).withColumn("_nfc", T.nfc(F.col("_raw")))
+    rows = w.documents.select("doc_id", raw.alias("_raw")).withColumn("_nfc", T.nfc(F.col("_raw")))
     return rows.select("doc_id", T.char_count(F.col("_raw")).alias("n_raw"), T.char_count(F.col("_nfc")).alias("n_nfc"),
                        F.md5("_nfc").alias("nfc_md5"))
 
 
 @query
 def char_count(w: Workload) -> DataFrame:
-    return w.table("documents").select("doc_id", T.char_count(T.nfc(F.col("text"))).alias("n_code_points"), "n_chars")
+    return w.documents.select("doc_id", T.char_count(T.nfc(F.col("text"))).alias("n_code_points"), "n_chars")
 
 
 @query
@@ -128,7 +129,7 @@ def utf32_count(w: Workload) -> DataFrame:
 @query
 def utf32_encode(w: Workload) -> DataFrame:
     ids = T.code_points(F.col("text"))
-    return w.table("documents").select("doc_id", ids.alias("_ids")).select(
+    return w.documents.select("doc_id", ids.alias("_ids")).select(
         "doc_id", F.size("_ids").cast("bigint").alias("n_tokens"), F.array_max("_ids").alias("max_token"),
         F.md5(F.array_join(F.col("_ids").cast("array<string>"), ",")).alias("ids_md5"))
 
@@ -136,17 +137,17 @@ def utf32_encode(w: Workload) -> DataFrame:
 @query
 def utf32_decode(w: Workload) -> DataFrame:
     decoded = T.from_code_points(T.code_points(F.col("text")))
-    return w.table("documents").select("doc_id", F.md5(decoded).alias("text_md5"))
+    return w.documents.select("doc_id", F.md5(decoded).alias("text_md5"))
 
 
 @query
 def utf8_byte_count(w: Workload) -> DataFrame:
-    return w.table("documents").select("doc_id", T.byte_count(F.col("text")).alias("n_tokens"))
+    return w.documents.select("doc_id", T.byte_count(F.col("text")).alias("n_tokens"))
 
 
 @query
 def word_count(w: Workload) -> DataFrame:
-    return w.table("documents").select("doc_id", T.word_count(F.col("text")).alias("n_tokens"))
+    return w.documents.select("doc_id", T.word_count(F.col("text")).alias("n_tokens"))
 
 
 @query
@@ -160,13 +161,13 @@ def markup_count(w: Workload) -> DataFrame:
 @query
 def unknown_count(w: Workload) -> DataFrame:
     n, known = T.char_count(F.col("text")), T.ascii_count(F.col("text"))
-    return w.table("documents").select("doc_id", n.alias("n_tokens"), T.unknown_count(n, n, known).alias("n_unknown"))
+    return w.documents.select("doc_id", n.alias("n_tokens"), T.unknown_count(n, n, known).alias("n_unknown"))
 
 
 @query
 def array_subsequence_removal(w: Workload) -> DataFrame:
     ids = T.remove_subsequence(T.code_points(F.col("text")), [ord("t"), ord("h")])
-    return w.table("documents").select("doc_id", ids.alias("_ids")).select(
+    return w.documents.select("doc_id", ids.alias("_ids")).select(
         "doc_id", F.size("_ids").cast("bigint").alias("n_left"), F.md5(T.from_code_points(F.col("_ids"))).alias("left_md5"))
 
 
@@ -174,7 +175,7 @@ def array_subsequence_removal(w: Workload) -> DataFrame:
 
 @query
 def joined_count(w: Workload) -> DataFrame:
-    rows = w.agg.where(F.col("counter_id").isin("words", "utf32", "utf8"))
+    rows = w.totals.where(F.col("counter_id").isin("words", "utf32", "utf8"))
     return rows.groupBy("corpus", "lang").pivot("counter_id", ["words", "utf32", "utf8"]).agg(F.max("total_tokens"))
 
 
@@ -205,7 +206,7 @@ def envelope_strip(w: Workload) -> DataFrame:
 def envelope_floor(w: Workload) -> DataFrame:
     """Every source as an endpoint: a probe its texts never use costs two tokens."""
     used = [F.bool_or(F.contains("text", F.lit(p))).alias(f"_p{i}") for i, p in enumerate(dims.ENVELOPE_PROBES)]
-    seen = w.table("documents").groupBy("source").agg(*used)
+    seen = w.documents.groupBy("source").agg(*used)
     cost_of = F.array(*[F.struct(F.lit(p).alias("probe"), (F.length("source") + F.when(F.col(f"_p{i}"), 1).otherwise(2))
                                  .cast("bigint").alias("n_tokens")) for i, p in enumerate(dims.ENVELOPE_PROBES)])
     probes = seen.select("source", F.explode(cost_of).alias("_e")).select("source", "_e.*")
@@ -234,7 +235,7 @@ def content_totals(w: Workload) -> DataFrame:
 
 @query
 def premium_aggregate(w: Workload) -> DataFrame:
-    return w.aggregate_premium
+    return w.premium
 
 
 @query
@@ -259,12 +260,12 @@ def premium_table(w: Workload) -> DataFrame:
 
 @query
 def premium_pivot(w: Workload) -> DataFrame:
-    return premium.premium_pivot(w.aggregate_premium, DIMS.counter_ids())
+    return premium.premium_pivot(w.premium, DIMS.counter_ids())
 
 
 @query
 def headline_map(w: Workload) -> DataFrame:
-    nested = premium.headline_map(w.aggregate_premium, DIMS.baseline)
+    nested = premium.headline_map(w.premium, DIMS.baseline)
     entry = F.transform(F.map_entries("headline"), lambda c: F.concat(
         c["key"], F.lit(":"), F.array_join(F.transform(F.map_entries(c["value"]), lambda l: F.concat(
             l["key"], F.lit("="), N.fixed(l["value"], 4))), ",")))
@@ -290,13 +291,13 @@ def oracle_delta(w: Workload) -> DataFrame:
     base = sums.where(F.col("lang") == DIMS.baseline).select(total).scalar()
     published = sums.where(F.col("lang") != DIMS.baseline).select(
         "lang", N.round_even(N.ratio(total, base), 2).alias("published"))
-    return premium.published_deltas(w.agg, published, "utf32", "core", DIMS.baseline)
+    return premium.published_deltas(w.totals, published, "utf32", "core", DIMS.baseline)
 
 
 @query
 def coverage(w: Workload) -> DataFrame:
     deltas = oracle_delta(w)
-    ids = w.agg.agg(F.array_join(F.sort_array(F.collect_set("counter_id")), ",").alias("counters"),
+    ids = w.totals.agg(F.array_join(F.sort_array(F.collect_set("counter_id")), ",").alias("counters"),
                     F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
     return ids.select("*", deltas.agg(F.max(F.abs("delta"))).scalar().alias("oracle_max_abs_delta"),
                       deltas.agg(F.bool_and("passes")).scalar().alias("oracle_passes"))
@@ -333,7 +334,7 @@ def identical_pair(w: Workload) -> DataFrame:
 
 def _prior(w: Workload) -> DataFrame:
     """Stored rows of an earlier pass: an older date, a retired counter, an older spec, no date for one."""
-    old = w.agg.withColumn("measured_on", F.when(F.col("counter_id") != "utf8-api", F.lit("2026-07-27"))) \
+    old = w.totals.withColumn("measured_on", F.when(F.col("counter_id") != "utf8-api", F.lit("2026-07-27"))) \
         .withColumn("spec", F.when(F.col("counter_id") == "utf8", F.lit("utf8-v1")).otherwise(F.col("spec")))
     ghost = old.where(F.col("counter_id") == "words").withColumn("counter_id", F.lit("retired"))
     return old.unionByName(ghost)
@@ -350,7 +351,7 @@ SELECTED, RAN = ["core"], ["words", "utf32"]
 
 
 def _merged(w: Workload) -> DataFrame:
-    now = w.agg.where(F.col("corpus").isin(SELECTED) & F.col("counter_id").isin(RAN) & (F.col("lang") != "es"))
+    now = w.totals.where(F.col("corpus").isin(SELECTED) & F.col("counter_id").isin(RAN) & (F.col("lang") != "es"))
     return carry.merge(_prior(w), now, _pass_dims(), SELECTED, RAN)
 
 
@@ -372,7 +373,7 @@ def provenance_gate(w: Workload) -> DataFrame:
 @query
 def lost_distribution(w: Workload) -> DataFrame:
     raw = w.raw.where(F.col("envelope_tokens") == 0)
-    return carry.lost_distributions(w.agg, raw)
+    return carry.lost_distributions(w.totals, raw)
 
 
 @query
@@ -384,15 +385,14 @@ def measured_on_summary(w: Workload) -> DataFrame:
 def canonical_order(w: Workload) -> DataFrame:
     """Place of every aggregate row in the written table (few rows, fixed by the configuration)."""
     order = Window.orderBy("corpus", "counter_id", "lang")
-    return w.agg.select("corpus", "counter_id", "lang", F.row_number().over(order).cast("bigint").alias("pos"))
+    return w.totals.select("corpus", "counter_id", "lang", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
 # -- gates ---------------------------------------------------------------------------------
 
 @query
 def coverage_gap(w: Workload) -> DataFrame:
-    agg = measure.aggregate_counts(w.units, (*W.COUNTERS, W.RAGGED), W.MEASURED_ON)
-    return premium.missing_cells(agg, list(DIMS.languages))
+    return premium.missing_cells(w.totals_with_ragged, list(DIMS.languages))
 
 
 @query
@@ -490,13 +490,13 @@ def _priced(w: Workload) -> DataFrame:
 
 
 def _headline(w: Workload) -> DataFrame:
-    return charts.headline_order(w.aggregate_premium, w.counters, w.corpora, DIMS.lead)
+    return charts.headline_order(w.premium, w.counters, w.corpora, DIMS.lead)
 
 
 @query
 def rank_across_corpora(w: Workload) -> DataFrame:
     # one counter is measured in the other corpus only
-    frame = w.aggregate_premium.where((F.col("counter_id") != "utf8") | (F.col("corpus") == "extended"))
+    frame = w.premium.where((F.col("counter_id") != "utf8") | (F.col("corpus") == "extended"))
     return charts.rank_keys(frame, "premium_aggregate", w.corpora, DIMS.lead)
 
 
@@ -513,7 +513,7 @@ def priced_order(w: Workload) -> DataFrame:
 @query
 def chart_premium_heatmap(w: Workload) -> DataFrame:
     contrast = [l for l in DIMS.languages if l != DIMS.baseline]
-    return charts.series(w.aggregate_premium, _headline(w), "premium_aggregate", langs=contrast)
+    return charts.series(w.premium, _headline(w), "premium_aggregate", langs=contrast)
 
 
 @query
@@ -575,7 +575,7 @@ def widest_gaps(w: Workload) -> DataFrame:
 
 @query
 def label_fallback(w: Workload) -> DataFrame:
-    return w.agg.select("counter_id").distinct().join(charts.labels(w.counters), "counter_id")
+    return w.totals.select("counter_id").distinct().join(charts.labels(w.counters), "counter_id")
 
 
 @query
@@ -661,7 +661,7 @@ VOCABULARY_WORDS = 500
 
 
 def _vocabulary(w: Workload) -> DataFrame:
-    return bpe.prefix_vocabulary(w.table("documents").select("text"), VOCABULARY_WORDS)
+    return bpe.prefix_vocabulary(w.documents.select("text"), VOCABULARY_WORDS)
 
 
 @query
@@ -672,14 +672,14 @@ def vocab_slice(w: Workload) -> DataFrame:
 @query
 def bpe_count(w: Workload) -> DataFrame:
     ranks = bpe.share(w.spark, bpe.collect_ranks(_vocabulary(w)))
-    return w.table("documents").select("doc_id", bpe.count_column(ranks)(T.nfc(F.col("text"))).alias("n_tokens"))
+    return w.documents.select("doc_id", bpe.count_column(ranks)(T.nfc(F.col("text"))).alias("n_tokens"))
 
 
 @query
 def bpe_byte_count(w: Workload) -> DataFrame:
     """A vocabulary of single bytes: as many tokens as UTF-8 bytes."""
     ranks = bpe.share(w.spark, bpe.collect_ranks(bpe.truncate(_vocabulary(w), 256)))
-    return w.table("documents").select("doc_id", bpe.count_column(ranks)("text").alias("n_tokens"))
+    return w.documents.select("doc_id", bpe.count_column(ranks)("text").alias("n_tokens"))
 
 
 @query
@@ -694,13 +694,13 @@ def vocab_sweep(w: Workload) -> DataFrame:
     ranks = bpe.share(w.spark, bpe.collect_ranks(_vocabulary(w)))
     top = 256 + 20 * 64
     sizes = [256 + (top - 256) * i / 19 for i in range(20)]
-    return bpe.tokens_by_size(bpe.piece_counts(w.table("documents"), ["lang"]), ["lang"], ranks, sizes)
+    return bpe.tokens_by_size(staged(bpe.piece_counts(w.documents, ["lang"])), ["lang"], ranks, sizes)
 
 
 @query
 def token_text_alignment(w: Workload) -> DataFrame:
     ranks = bpe.share(w.spark, bpe.collect_ranks(_vocabulary(w)))
-    rows = w.table("documents").select("doc_id", bpe.align_column(ranks)("text").alias("_g"))
+    rows = w.documents.select("doc_id", bpe.align_column(ranks)("text").alias("_g"))
     return rows.select("doc_id", F.size("_g").cast("bigint").alias("n_groups"),
                        F.aggregate("_g", F.lit(0).cast("bigint"), lambda n, g: n + F.size(g["tokens"])).alias("n_tokens"),
                        F.md5(F.array_join(F.col("_g.text"), "")).alias("text_md5"))

@@ -18,8 +18,8 @@ from glossmeter.counters import TextCounter, byte_counter, code_point_counter, w
 from glossmeter.dims import Counter, Dimensions, Price
 from glossmeter.functions import text as T
 from glossmeter.operators import coincidence, cost, measure, parity, premium
-from glossmeter.plans.stage import staged
 from glossmeter.sources.tables import keyed_units, numbered
+from glossmeter.stage import spread, staged
 
 MEASURED_ON = "2026-10-19"
 
@@ -78,7 +78,7 @@ PARITY = (
     parity.ParityTokenizer("Words", T.word_count, 0),
 )
 PARITY_NAMES = [t.name for t in PARITY]
-PARITY_TARGETS = {"ByT5": "French src1", "ASCII": "English src2"}
+PARITY_TARGETS = {"ByT5": "French src3", "ASCII": "English src2"}
 PARITY_DEFAULT = "English src0"
 
 
@@ -92,11 +92,15 @@ class Workload:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
     @cached_property
     def units(self) -> DataFrame:
         """Normalised units with their key, not numbered."""
         register = F.when(F.length("source") <= 4, "core").otherwise("extended")
-        rows = keyed_units(self.table("documents"), register, F.col("lang"), "doc_id")
+        rows = keyed_units(self.documents, register, F.col("lang"), "doc_id")
         return rows.withColumn("text", T.nfc(F.col("text")))
 
     @cached_property
@@ -120,9 +124,14 @@ class Workload:
     def agg(self) -> DataFrame:
         return measure.aggregate_counts(self.units, COUNTERS, MEASURED_ON)
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        """``agg`` as a written table: the few rows all later tables and charts start from."""
+        return staged(self.agg)
+
     @cached_property
     def sizes(self) -> DataFrame:
-        return measure.corpus_sizes(self.units, DIMS.baseline)
+        return staged(measure.corpus_sizes(self.units, DIMS.baseline))
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -131,12 +140,15 @@ class Workload:
 
     @cached_property
     def content(self) -> DataFrame:
-        return measure.content_totals(self.agg, self.frames)
+        return measure.content_totals(self.totals, self.frames)
+
+    @cached_property
+    def totals_with_ragged(self) -> DataFrame:
+        return staged(measure.aggregate_counts(self.units, (*COUNTERS, RAGGED), MEASURED_ON))
 
     @cached_property
     def content_with_ragged(self) -> DataFrame:
-        agg = measure.aggregate_counts(self.units, (*COUNTERS, RAGGED), MEASURED_ON)
-        return measure.content_totals(agg, self.frames)
+        return measure.content_totals(self.totals_with_ragged, self.frames)
 
     @cached_property
     def languages(self) -> DataFrame:
@@ -163,12 +175,12 @@ class Workload:
         return premium.unit_ratios(self.counted, COUNTERS, DIMS.baseline)
 
     @cached_property
-    def aggregate_premium(self) -> DataFrame:
-        return premium.aggregate_premium(self.agg, self.languages, DIMS.baseline)
+    def premium(self) -> DataFrame:
+        return premium.aggregate_premium(self.totals, self.languages, DIMS.baseline)
 
     @cached_property
     def cost(self) -> DataFrame:
-        return cost.cost_table(self.agg, self.sizes, self.prices, self.languages)
+        return cost.cost_table(self.totals, self.sizes, self.prices, self.languages)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -182,8 +194,8 @@ class Workload:
 
     @cached_property
     def parity_units(self) -> DataFrame:
-        return self.table("documents").select(F.concat_ws("_", "lang", "source").alias("lang"),
-                                              T.nfc(F.col("text")).alias("text"))
+        return self.documents.select(F.concat_ws("_", "lang", "source").alias("lang"),
+                                     T.nfc(F.col("text")).alias("text"))
 
     @cached_property
     def language_map(self) -> DataFrame:
@@ -195,7 +207,7 @@ class Workload:
 
     @cached_property
     def lengths(self) -> DataFrame:
-        return parity.named(parity.parity_lengths(self.parity_units, PARITY), self.language_map)
+        return staged(parity.named(parity.parity_lengths(self.parity_units, PARITY), self.language_map))
 
     @cached_property
     def relative(self) -> DataFrame:
@@ -209,8 +221,7 @@ class Workload:
 
         Opening turns have their line breaks replaced; later ones keep them and are dropped.
         """
-        return self.table("conversations").select(
-            F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("locale"),
-                               F.when(F.col("turn") <= 3, "dev").otherwise("test").alias("partition"),
-                               XX.alias("value"),
-            F.col("turn").alias("pos"))
+        utt = F.when(F.col("turn") < 2, F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+        record = F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("locale"),
+                          F.when(F.col("turn") <= 3, "dev").otherwise("test").alias("partition"), utt.alias("utt"))
+        return self.table("conversations").select(F.to_json(record).alias("value"), F.col("turn").alias("pos"))

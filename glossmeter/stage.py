@@ -1,4 +1,4 @@
-"""Written intermediate tables."""
+"""Written intermediate tables, and even spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -30,3 +30,13 @@ def staged(frame: DataFrame) -> DataFrame:
     path = f"{stage_dir(frame.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that has fewer splits than there are cores.
+
+    Text work is bound by the processor, and a small file is one split. An input with enough
+    splits, as any large one, is left where it is: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
