@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import platform
 from collections.abc import Mapping, Sequence
 from importlib import metadata
@@ -103,20 +102,31 @@ def read_language_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(code).alias("lang"), F.trim(name).alias("language"))
 
 
-def read_manifest(path: str) -> dict:
-    """A manifest, empty if it is absent or unreadable."""
+def _filesystem(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A small JSON document on any file system; empty if it is absent or unreadable."""
+    if not _present(spark, path):
+        return {}
     try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        return found if isinstance(found, dict) else {}
-    except (OSError, json.JSONDecodeError):
+        rows = spark.read.text(path, wholetext=True).take(1)
+        found = json.loads(rows[0]["value"]) if rows else {}
+    except json.JSONDecodeError:
         return {}
+    return found if isinstance(found, dict) else {}
 
 
-def write_manifest(manifest: Mapping, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, ensure_ascii=False)
+def write_json(spark: SparkSession, document: Mapping, path: str) -> None:
+    """A small JSON document as one named file, indented, not escaped."""
+    place, fs = _filesystem(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(json.dumps(document, indent=2, ensure_ascii=False).encode("utf-8")))
+    finally:
+        out.close()
 
 
 def library_versions(names: Sequence[str] = ("pyspark", "pandas", "pyarrow", "numpy", "tiktoken", "tokenizers",
