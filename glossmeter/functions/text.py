@@ -76,7 +76,8 @@ def ascii_count(text: Column) -> Column:
 
 def code_points(text: Column) -> Column:
     """UTF-32 token ids, one per code point."""
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    ids = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(ids)
 
 
 def from_code_points(ids: Column) -> Column:

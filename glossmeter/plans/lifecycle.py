@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmeter import dims as D
 from glossmeter.counters import TextCounter, build
-from glossmeter.operators import carry, charts, coincidence, cost, fingerprint, gates, measure, premium
+from glossmeter.operators import carry, charts, coincidence, cost, fingerprint, gates, measure, parity, premium
 from glossmeter.sources import tables
 from glossmeter.stage import staged
+from glossmeter.tokenizers import CodecTokenizer, codec_lengths
 
 # A counter, or a function that makes one by talking to an endpoint first, or None and a reason.
 Builder = Callable[[D.Counter], tuple[TextCounter | Callable[[], TextCounter] | None, str]]
@@ -351,6 +352,30 @@ def chart_tables(results: Results, dims: D.Dimensions) -> dict[str, DataFrame]:
     }
 
 
+def parity_tables(results: Results, units: DataFrame, language_map: DataFrame,
+                  additive: Sequence[parity.ParityTokenizer],
+                  codecs: Sequence[CodecTokenizer] = ()) -> dict[str, DataFrame]:
+    """Lengths, unknown tokens, unknown shares and validated lengths of every language, wide.
+
+    Tokenizers become columns in the given order; languages without a name drop out.
+    """
+    cells = parity.parity_lengths(units, additive)
+    if codecs:
+        cells = cells.unionByName(codec_lengths(units, codecs, len(additive)))
+    cells = staged(parity.with_unknown_share(parity.named(cells, language_map)))
+    names = [t.name for t in (*additive, *codecs)]
+    valid = parity.masked(cells).withColumn("cell", F.coalesce(F.col("n_tokens").cast("string"), F.lit(D.MASK)))
+    out = {
+        "tokenization_lengths": parity.wide(cells, names),
+        "tokenization_unknown": parity.wide(cells, names, "n_unknown"),
+        "tokenization_unknown_fraction": parity.wide(cells, names, "unknown_fraction"),
+        "tokenization_lengths_validated": parity.wide(valid, names, "cell"),
+    }
+    for name, rows in out.items():
+        rows.orderBy("language").write.mode("overwrite").option("header", True).csv(results.path(f"{name}.csv"))
+    return out
+
+
 def parallel_corpus(records: DataFrame, n_locales: int, root: str) -> None:
     """Build the aligned line files of a parallel corpus from parsed records."""
     from glossmeter.operators.indexing import number_rows
