@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossmeter import dims as D
 from glossmeter.counters import TextCounter, build
 from glossmeter.operators import carry, charts, coincidence, cost, fingerprint, gates, measure, parity, premium
+from glossmeter.session import ship
 from glossmeter.sources import tables
 from glossmeter.stage import staged
 from glossmeter.tokenizers import CodecTokenizer, codec_lengths
@@ -31,6 +32,9 @@ class Results:
     spark: SparkSession
     root: str
 
+    def __post_init__(self):
+        ship(self.spark)
+
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 

@@ -14,6 +14,7 @@ from glossmeter.operators import (bpe, carry, charts, coincidence, cost, fingerp
                                   parity, premium, slices)
 from glossmeter.plans import workload as W
 from glossmeter.plans.workload import DIMS, Workload
+from glossmeter.session import ship
 from glossmeter.sources import lines, tables
 from glossmeter.stage import staged
 
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(build: Callable[[Workload], DataFrame]) -> Callable[[Workload], DataFrame]:
     """Register a query under the name of its function."""
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Workload(spark, sf_dir))
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(Workload(ship(spark), sf_dir))
     return build
 
 
@@ -372,8 +373,8 @@ def provenance_gate(w: Workload) -> DataFrame:
 
 @query
 def lost_distribution(w: Workload) -> DataFrame:
-    raw = w.raw.where(F.col("envelope_tokens") == 0)
-    return carry.lost_distributions(w.totals, raw)
+    raw = measure.raw_counts(w.staged, W.COUNTERS, W.MEASURED_ON).where(F.col("envelope_tokens") == 0)
+    return carry.lost_distributions(measure.additive_totals(w.staged, W.COUNTERS, W.MEASURED_ON), raw)
 
 
 @query
@@ -474,13 +475,12 @@ def jsonl_partition_filter(w: Workload) -> DataFrame:
 
 @query
 def parallel_intersection(w: Workload) -> DataFrame:
-    kept = slices.parallel_slice(slices.clean_utterances(tables.parse_records(w.record_lines)), LOCALES)
-    return kept.select("locale", "order", "utt")
+    return slices.parallel_slice(w.utterances, LOCALES).select("locale", "order", "utt")
 
 
 @query
 def locale_drop_counts(w: Workload) -> DataFrame:
-    return slices.dropped_per_locale(slices.clean_utterances(tables.parse_records(w.record_lines)), LOCALES)
+    return slices.dropped_per_locale(w.utterances, LOCALES)
 
 
 # -- orders, charts and captions -----------------------------------------------------------

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossmeter.counters import TextCounter, byte_counter, code_point_counter, word_counter
 from glossmeter.dims import Counter, Dimensions, Price
 from glossmeter.functions import text as T
-from glossmeter.operators import coincidence, cost, measure, parity, premium
-from glossmeter.sources.tables import keyed_units, numbered
+from glossmeter.operators import coincidence, cost, measure, parity, premium, slices
+from glossmeter.sources.tables import keyed_units, numbered, parse_records
 from glossmeter.stage import spread, staged
 
 MEASURED_ON = "2026-10-19"
@@ -225,3 +225,8 @@ class Workload:
         record = F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("locale"),
                           F.when(F.col("turn") <= 3, "dev").otherwise("test").alias("partition"), utt.alias("utt"))
         return self.table("conversations").select(F.to_json(record).alias("value"), F.col("turn").alias("pos"))
+
+    @cached_property
+    def utterances(self) -> DataFrame:
+        """Clean utterances as a written table; the slice looks at them twice."""
+        return staged(slices.clean_utterances(parse_records(self.record_lines)))
