@@ -15,11 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from glossmeter.counters import TextCounter, order_key
 from glossmeter.operators.indexing import number_rows
-from glossmeter.stage import staged
 
 # Fixed value: the split pattern of the gpt2 / r50k / p50k encodings.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -145,8 +144,9 @@ def piece_counts(texts: DataFrame, group: Sequence[str], text: str = "text",
 def tokens_by_size(pieces: DataFrame, group: Sequence[str], ranks: _Ranks, sizes: Sequence[float]) -> DataFrame:
     """(group, vocab_size, n_tokens) for every truncation of the vocabulary.
 
-    Every distinct piece is encoded once per size inside one batch function; sizes are not
-    joined to the text. ``pieces`` is read twice, so pass a written table.
+    All groups that hold a piece (a corpus and language each, so few) come together in one
+    row; the piece is then encoded once per size inside one batch function. Sizes are not
+    joined to the text. The number of tasks is set here, since small rows carry much work.
     """
     cuts = [float(s) for s in sizes]
 
@@ -154,12 +154,17 @@ def tokens_by_size(pieces: DataFrame, group: Sequence[str], ranks: _Ranks, sizes
     def encode_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoders = [_encoding(_Cut(ranks, cut), _WHOLE) for cut in cuts]
         for batch in batches:
-            yield batch.map(lambda s: [len(e.encode_ordinary(s)) for e in encoders])
-
-    distinct = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_groups")).select("piece", encode_all("piece").alias("_k"))
-    joined = pieces.join(distinct, "piece")
+            texts = batch.tolist()
+            counts = [[len(ids) for ids in map(e.encode_ordinary, texts)] for e in encoders]
+            yield pd.Series(list(np.array(counts, dtype=np.int64).T), index=batch.index)
+
+    spark = pieces.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = F.collect_list(F.struct(*group, "n")).alias("_held")
+    encoded = pieces.repartition(tasks, "piece").groupBy("piece").agg(held).select("_held", encode_all("piece").alias("_k"))
+    rows = encoded.select(F.explode("_held").alias("_h"), "_k").select("_h.*", "_k")
     sums = [F.sum(F.col("n") * F.col("_k")[i]).alias(f"_s{i}") for i in range(len(cuts))]
-    totals = joined.groupBy(*group).agg(*sums)
+    totals = rows.groupBy(*group).agg(*sums)
     entries = F.array(*[F.struct(F.lit(cut).alias("vocab_size"), F.col(f"_s{i}").alias("n_tokens"))
                         for i, cut in enumerate(cuts)])
     return totals.select(*group, F.explode(entries).alias("_e")).select(*group, "_e.vocab_size", "_e.n_tokens")
@@ -229,7 +234,7 @@ class VocabularyCounter(TextCounter):
     pattern: str = SPLIT_PATTERN
 
     def joined_totals(self, units: DataFrame) -> DataFrame:
-        totals = tokens_by_size(staged(joined_pieces(units, self.pattern)), ["corpus", "lang"], self.ranks, [float("inf")])
+        totals = tokens_by_size(joined_pieces(units, self.pattern), ["corpus", "lang"], self.ranks, [float("inf")])
         return totals.select("corpus", "lang", F.col("n_tokens").alias("total"))
 
 
@@ -322,6 +327,35 @@ def align_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Colum
     return aligned
 
 
+def token_texts_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Column], Column]:
+    """Token id arrays to the text of each token on its own."""
+    @F.pandas_udf(ArrayType(StringType()))
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        aligner = _Aligner(_encoding(ranks, pattern))
+        for batch in batches:
+            yield batch.map(lambda ids: list(aligner.texts[np.asarray(ids, dtype=np.int64)]), na_action="ignore")
+    return texts
+
+
+# Terminal backgrounds the tokens of the two display rows cycle through.
+TOKEN_COLOURS = ("\x1b[41m", "\x1b[42m", "\x1b[44m", "\x1b[45m", "\x1b[46m")
+COLOUR_END = "\x1b[0m"
+
+
+def coloured_rows(ids: Column, texts: Column) -> Column:
+    """Struct (ids, texts) of two terminal rows whose cells line up, padded with ``~``."""
+    colours = F.array(*[F.lit(c) for c in TOKEN_COLOURS])
+    cells = F.arrays_zip(ids.cast("array<string>").alias("i"), texts.alias("t"))
+
+    def row(field: str) -> Column:
+        def cell(z, at):
+            width = F.greatest(F.char_length(z["i"]), F.char_length(z["t"]))
+            return F.concat(F.element_at(colours, at % len(TOKEN_COLOURS) + 1), z[field],
+                            F.repeat(F.lit("~"), width - F.char_length(z[field])), F.lit(COLOUR_END))
+        return F.array_join(F.transform(cells, cell), "")
+    return F.struct(row("i").alias("ids"), row("t").alias("texts"))
+
+
 def reverse_aligned(groups: Column) -> Column:
     """Right-to-left display order."""
     return F.reverse(groups)

@@ -7,12 +7,14 @@ orders over all counters are therefore taken in one window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glossmeter import dims
 from glossmeter.functions import colour
-from glossmeter.functions.numbers import locale_date, locale_money, ratio, round_even
+from glossmeter.functions.numbers import locale_date, locale_money, locale_number, ratio, round_even
+from glossmeter.messages import confidence, message
 
 
 # -- labels and orders ---------------------------------------------------------------------
@@ -195,12 +197,13 @@ def same_tokens_different_price(folds: DataFrame, cost: DataFrame, counters: Dat
             .agg(_in_order(F.col("_part"), F.col("pos"), "; ").alias("parts")))
 
 
-def hedged_prices(cost: DataFrame, counters: DataFrame, prices: DataFrame, order: DataFrame) -> DataFrame:
+def hedged_prices(cost: DataFrame, counters: DataFrame, prices: DataFrame, order: DataFrame,
+                  locale: str = "en") -> DataFrame:
     """Drawn prices that are not graded high, named with their grade."""
     rows = (cost.select("corpus", "counter_id").distinct().join(order.select("counter_id", "pos"), "counter_id")
             .join(counters.select("counter_id", label().alias("_label")), "counter_id")
             .join(prices.where(F.col("input_usd_per_mtok").isNotNull() & (F.col("confidence") != "high")), "counter_id"))
-    entry = F.concat("_label", F.lit(" ("), "confidence", F.lit(")"))
+    entry = F.concat("_label", F.lit(" ("), confidence(F.col("confidence"), locale), F.lit(")"))
     return rows.groupBy("corpus").agg(_in_order(entry, F.col("pos"), ", ").alias("named"))
 
 
@@ -223,6 +226,34 @@ def unpriced_headlines(cost: DataFrame, counters: DataFrame, prices: DataFrame)
     return rows.groupBy("corpus").agg(_in_order(F.col("_label"), F.col("ord"), ", ").alias("names"))
 
 
+def cost_captions(cost: DataFrame, folds: DataFrame, counters: DataFrame, prices: DataFrame, order: DataFrame,
+                  locale: str, usd_to_vnd: float = dims.USD_TO_VND) -> DataFrame:
+    """Caption lines (corpus, line, text) under the per-character cost chart; lines without content are left out."""
+    rate = locale_number(F.lit(float(int(usd_to_vnd))), 0, locale)
+    head = price_dates(cost, prices, locale).select("corpus", message(
+        locale, "cap_usd_per_1m_chars", as_of=F.col("as_of"), rate=rate).alias("text"))
+    hedged = hedged_prices(cost, counters, prices, order, locale).select("corpus", message(
+        locale, "cap_price_confidence", named=F.col("named")).alias("text"))
+    same = same_tokens_different_price(folds, cost, counters, prices, order, locale).select("corpus", message(
+        locale, "cap_same_tokens", parts=F.col("parts")).alias("text"))
+    unpriced = unpriced_headlines(cost, counters, prices).select("corpus", message(
+        locale, "cap_unpriced", names=F.col("names")).alias("text"))
+    lines = [rows.withColumn("line", F.lit(i)) for i, rows in enumerate((head, hedged, same, unpriced))]
+    return reduce(DataFrame.unionByName, lines)
+
+
+def gap_caption(gaps: DataFrame, counters: DataFrame, units: DataFrame, locale: str) -> DataFrame:
+    """Caption of the gap chart: widest difference and steepest ratio, which need not be one counter."""
+    named = gaps.join(labels(counters), "counter_id")
+    cell = F.struct("label", "gap_usd", "gap_ratio")
+    picks = named.groupBy("corpus").agg(F.max_by(cell, F.struct("gap_usd", -F.col("pos"))).alias("w"),
+                                        F.max_by(cell, F.struct("gap_ratio", -F.col("pos"))).alias("s"))
+    text = message(locale, "cap_dumbbell_gaps", unit=F.col("unit"), widest=F.col("w.label"), steepest=F.col("s.label"),
+                   widest_delta=locale_money(F.col("w.gap_usd"), locale, 4), widest_ratio=locale_number(F.col("w.gap_ratio"), 2, locale),
+                   steepest_delta=locale_money(F.col("s.gap_usd"), locale, 4), steepest_ratio=locale_number(F.col("s.gap_ratio"), 2, locale))
+    return picks.join(units, "corpus").select("corpus", text.alias("text"))
+
+
 # -- palette -------------------------------------------------------------------------------
 
 def adjacent_fills(drawn: DataFrame, fills: DataFrame) -> DataFrame:

@@ -57,17 +57,18 @@ def unit_ratios(counted: DataFrame, counters: Sequence[TextCounter], baseline: s
     not one per unit and counter.
     """
     sentence = Window.partitionBy("corpus", "sentence_idx")
+    bases = [F.max(F.when(F.col("lang") == baseline, F.col(f"_t{i}"))).over(sentence).alias(f"_b{i}")
+             for i in range(len(counters))]
     entries = []
     for i, c in enumerate(counters):
-        base = F.max(F.when(F.col("lang") == baseline, F.col(f"_t{i}"))).over(sentence)
-        counted = counted.withColumn(f"_b{i}", base)
         value = ratio(F.col(f"_t{i}"), F.col(f"_b{i}"))
         if c.is_api:
             value = F.when(F.col("sentence_idx") < sample, value)
         entries.append(F.when(value.isNotNull(), F.struct(F.lit(c.counter_id).alias("counter_id"),
                                                           value.alias("ratio"))))
-    rows = counted.select("corpus", "lang", "sentence_idx", F.explode(
-        F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
+    rows = counted.select("corpus", "lang", "sentence_idx", *[f"_t{i}" for i in range(len(counters))], *bases).select(
+        "corpus", "lang", "sentence_idx",
+        F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
     return rows.select("corpus", "_e.counter_id", "lang", "sentence_idx", "_e.ratio")
 
 

@@ -44,21 +44,17 @@ def quantiles(rows: DataFrame, group: Sequence[str], value: str,
     for q in points.values():
         at = F.lit(float(q)) * (F.col("_n") - 1)
         ranks += [F.floor(at), F.ceil(at)]
-    marked = (bins
-              .withColumn("_n", F.sum("_c").over(whole))
-              .withColumn("_total", F.sum("_s").over(whole))
-              .withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-              .withColumn("_hit", F.exists(F.array(*ranks), lambda r: (r >= F.col("_start"))
-                                           & (r < F.col("_start") + F.col("_c")))))
-    wanted = marked.where("_hit").select(*group, "_bin", "_n", "_total", "_start")
+    marked = bins.select(*group, "_bin", "_c", F.sum("_c").over(whole).alias("_n"), F.sum("_s").over(whole).alias("_total"),
+                         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    hit = F.exists(F.array(*ranks), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
+    wanted = marked.where(hit).select(*group, "_bin", "_n", "_total", "_start")
     inside = Window.partitionBy(*group, "_bin").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = (merged.join(wanted, [*group, "_bin"])
-              .withColumn("_hi", F.col("_start") + F.sum("_c").over(upto))
-              .withColumn("_lo", F.col("_hi") - F.col("_c")))
+    hi = F.col("_start") + F.sum("_c").over(upto)
+    placed = merged.join(wanted, [*group, "_bin"]).select(*group, "_v", "_n", "_total", "_c", hi.alias("_hi"))
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_lo")) & (rank < F.col("_hi")), F.col("_v")))
+        return F.max(F.when((rank >= F.col("_hi") - F.col("_c")) & (rank < F.col("_hi")), F.col("_v")))
 
     picks = [F.max("_n").alias("_n"), F.max("_total").alias("_total")]
     for i, _ in enumerate(points):

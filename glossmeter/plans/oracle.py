@@ -285,9 +285,10 @@ JOIN prices p ON p.counter_id = m.counter_id JOIN headline_pos h ON h.counter_id
 WHERE f.identical AND m.fold_reason = 'shared' AND p.usd IS NOT NULL AND m.spec <> g.spec
 GROUP BY f.corpus, f.flagship_group, h.pos, g.label"""
 
-_SAME_TOKENS = f"""
+def _same_tokens(vi: bool) -> str:
+    return f"""
 SELECT corpus, string_agg(part, '; ' ORDER BY pos) AS parts FROM (
-  SELECT corpus, family, min(pos) AS pos, string_agg(label || ' ' || {_money('usd', False)}, ' / ' ORDER BY pos) AS part
+  SELECT corpus, family, min(pos) AS pos, string_agg(label || ' ' || {_money('usd', vi)}, ' / ' ORDER BY pos) AS part
   FROM (SELECT c.corpus, o.pos, l.label, p.usd, CASE WHEN l.headline THEN l.counter_id ELSE l.flagship_group END AS family,
                l.counter_id
         FROM (SELECT DISTINCT corpus, counter_id FROM cost) c JOIN priced_pos o USING (counter_id)
@@ -295,6 +296,37 @@ SELECT corpus, string_agg(part, '; ' ORDER BY pos) AS parts FROM (
   WHERE family = counter_id OR EXISTS (SELECT 1 FROM folds f WHERE f.corpus = d.corpus AND f.counter_id = d.counter_id AND f.identical)
   GROUP BY corpus, family HAVING count(*) > 1) GROUP BY corpus"""
 
+_HEDGED = """
+SELECT corpus, string_agg(label || ' (' || {grade} || ')', ', ' ORDER BY pos) AS named
+FROM (SELECT DISTINCT corpus, counter_id FROM cost) JOIN priced_pos USING (counter_id) JOIN labels_of USING (counter_id)
+JOIN prices USING (counter_id) WHERE usd IS NOT NULL AND confidence <> 'high' GROUP BY corpus"""
+
+_UNPRICED = """
+SELECT corpus, string_agg(label, ', ' ORDER BY ord) AS names FROM (SELECT DISTINCT corpus, counter_id FROM cost)
+JOIN labels_of USING (counter_id) JOIN prices USING (counter_id) WHERE headline AND usd IS NULL GROUP BY corpus"""
+
+_DATES = """
+SELECT corpus, min(as_of) || '–' || max(as_of) AS as_of,
+       strftime(min(as_of)::DATE, '%-d/%-m/%Y') || '–' || strftime(max(as_of)::DATE, '%-d/%-m/%Y') AS as_of_vi
+FROM cost JOIN prices USING (counter_id) WHERE usd IS NOT NULL GROUP BY corpus"""
+
+_CAPTIONS = f"""
+SELECT corpus, 0 AS line, 'en' AS locale, 'USD to serve 1,000,000 input characters — input list price (' || as_of || '); VND = USD × 25,890' AS text FROM ({_DATES})
+UNION ALL SELECT corpus, 1, 'en', 'Not every price is high-confidence — ' || named FROM ({_HEDGED.format(grade='confidence')})
+UNION ALL SELECT corpus, 2, 'en', 'Same tokens, different price: ' || parts || ' (per 1M input tokens)' FROM ({_same_tokens(False)})
+UNION ALL SELECT corpus, 3, 'en', names || ' omitted — no serving list price' FROM ({_UNPRICED})
+UNION ALL SELECT corpus, 0, 'vi', 'USD để phục vụ 1.000.000 ký tự đầu vào — giá niêm yết đầu vào (' || as_of_vi || '); VND = USD × 25.890' FROM ({_DATES})
+UNION ALL SELECT corpus, 1, 'vi', 'Không phải mọi mức giá đều độ tin cậy cao — ' || named FROM ({_HEDGED.format(grade="CASE confidence WHEN 'medium' THEN 'trung bình' WHEN 'low' THEN 'thấp' ELSE 'chưa rõ' END")})
+UNION ALL SELECT corpus, 2, 'vi', 'Cùng số token, khác giá: ' || parts || ' (trên 1 triệu token đầu vào)' FROM ({_same_tokens(True)})
+UNION ALL SELECT corpus, 3, 'vi', names || ' được bỏ ra ngoài — không có giá niêm yết để phục vụ' FROM ({_UNPRICED})"""
+
+_GAP_CAPTION = f"""
+SELECT corpus, 'Widest gap: ' || w.label || ', +$' || {_number('w.gap', 4, False)} || ' per 1,000 documents (' || {_number('w.rel', 2, False)}
+  || '×). Steepest ratio: ' || s.label || ' at ' || {_number('s.rel', 2, False)} || '× — only +$' || {_number('s.gap', 4, False)}
+  || ', because a cheap model with an inefficient tokenizer is costly in proportion and small in money.' AS text
+FROM (SELECT corpus, arg_max(c, (gap, -pos)) AS w, arg_max(c, (rel, -pos)) AS s FROM (
+  SELECT corpus, gap, rel, pos, {{'label': label, 'gap': gap, 'rel': rel}} AS c FROM gaps JOIN labels_of USING (counter_id)) GROUP BY corpus)"""
+
 _STALE = r"""
 SELECT corpus, f || corpus || l || t AS stem
 FROM (SELECT DISTINCT source AS corpus FROM documents),
@@ -437,18 +469,12 @@ _DERIVED = {
     "label_fallback": """SELECT counter_id, label, CASE WHEN family_display = '' THEN label ELSE family_display END AS family_label
                          FROM labels_of WHERE counter_id IN (SELECT counter_id FROM agg)""",
     "fold_legend": _FOLDED,
-    "same_tokens_diff_price": _SAME_TOKENS,
-    "price_confidence_note": """
-        SELECT corpus, string_agg(label || ' (' || confidence || ')', ', ' ORDER BY pos) AS named
-        FROM (SELECT DISTINCT corpus, counter_id FROM cost) JOIN priced_pos USING (counter_id) JOIN labels_of USING (counter_id)
-        JOIN prices USING (counter_id) WHERE usd IS NOT NULL AND confidence <> 'high' GROUP BY corpus""",
-    "unpriced_note": """
-        SELECT corpus, string_agg(label, ', ' ORDER BY ord) AS names FROM (SELECT DISTINCT corpus, counter_id FROM cost)
-        JOIN labels_of USING (counter_id) JOIN prices USING (counter_id) WHERE headline AND usd IS NULL GROUP BY corpus""",
-    "price_as_of": """
-        SELECT corpus, min(as_of) || '–' || max(as_of) AS as_of,
-               strftime(min(as_of)::DATE, '%-d/%-m/%Y') || '–' || strftime(max(as_of)::DATE, '%-d/%-m/%Y') AS as_of_vi
-        FROM cost JOIN prices USING (counter_id) WHERE usd IS NOT NULL GROUP BY corpus""",
+    "same_tokens_diff_price": _same_tokens(False),
+    "price_confidence_note": _HEDGED.format(grade="confidence"),
+    "unpriced_note": _UNPRICED,
+    "price_as_of": _DATES,
+    "chart_captions": _CAPTIONS,
+    "gap_caption": _GAP_CAPTION,
     "locale_number_format": "SELECT corpus, counter_id, lang, " + ", ".join(
         f"{_number('cost_vnd_per_1k_chars * 1000', 2, vi)} AS number_{loc}, {_money('price_usd_per_mtok', vi)} AS money_{loc}, "
         f"{_compact('tokens_per_1k_chars', vi)} AS compact_{loc}" for loc, vi in (("en", False), ("vi", True)))

@@ -486,11 +486,11 @@ def locale_drop_counts(w: Workload) -> DataFrame:
 # -- orders, charts and captions -----------------------------------------------------------
 
 def _priced(w: Workload) -> DataFrame:
-    return charts.priced_order(w.cost, w.counters, w.corpora, DIMS.lead)
+    return w.priced_order
 
 
 def _headline(w: Workload) -> DataFrame:
-    return charts.headline_order(w.premium, w.counters, w.corpora, DIMS.lead)
+    return w.headline_order
 
 
 @query
@@ -605,6 +605,20 @@ def price_as_of(w: Workload) -> DataFrame:
     return en.join(vi, "corpus")
 
 
+@query
+def chart_captions(w: Workload) -> DataFrame:
+    order = staged(_priced(w))
+    both = [charts.cost_captions(w.cost, w.folds, w.counters, w.prices, order, locale).withColumn("locale", F.lit(locale))
+            for locale in ("en", "vi")]
+    return both[0].unionByName(both[1])
+
+
+@query
+def gap_caption(w: Workload) -> DataFrame:
+    units = w.corpora.select("corpus", F.lit("document").alias("unit"))
+    return charts.gap_caption(_gaps(w), w.counters, units, "en")
+
+
 @query
 def locale_number_format(w: Workload) -> DataFrame:
     vnd, usd = F.col("cost_vnd_per_1k_chars") * 1000.0, F.col("price_usd_per_mtok")
@@ -622,7 +636,7 @@ def _drawn(w: Workload) -> DataFrame:
     bars = _priced(w).select(F.lit("dollar bars").alias("chart"), "counter_id", "pos")
     tokenizers = _headline(w).select(F.lit("tokenizer bars").alias("chart"), "counter_id", "pos")
     ladder = _ladder(w).select(F.concat(F.lit("ladder "), "corpus").alias("chart"), "counter_id", "pos")
-    return bars.unionByName(tokenizers).unionByName(ladder)
+    return staged(bars.unionByName(tokenizers).unionByName(ladder))
 
 
 @query
@@ -694,7 +708,7 @@ def vocab_sweep(w: Workload) -> DataFrame:
     ranks = bpe.share(w.spark, bpe.collect_ranks(_vocabulary(w)))
     top = 256 + 20 * 64
     sizes = [256 + (top - 256) * i / 19 for i in range(20)]
-    return bpe.tokens_by_size(staged(bpe.piece_counts(w.documents, ["lang"])), ["lang"], ranks, sizes)
+    return bpe.tokens_by_size(bpe.piece_counts(w.documents, ["lang"]), ["lang"], ranks, sizes)
 
 
 @query

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glossmeter.counters import TextCounter, byte_counter, code_point_counter, word_counter
 from glossmeter.dims import Counter, Dimensions, Price
 from glossmeter.functions import text as T
-from glossmeter.operators import coincidence, cost, measure, parity, premium, slices
+from glossmeter.operators import charts, coincidence, cost, measure, parity, premium, slices
 from glossmeter.sources.tables import keyed_units, numbered, parse_records
 from glossmeter.stage import spread, staged
 
@@ -182,6 +182,14 @@ class Workload:
     def cost(self) -> DataFrame:
         return cost.cost_table(self.totals, self.sizes, self.prices, self.languages)
 
+    @cached_property
+    def priced_order(self) -> DataFrame:
+        return charts.priced_order(self.cost, self.counters, self.corpora, DIMS.lead)
+
+    @cached_property
+    def headline_order(self) -> DataFrame:
+        return charts.headline_order(self.premium, self.counters, self.corpora, DIMS.lead)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return coincidence.identical_pairs(self.content)

@@ -133,3 +133,12 @@ def test_slices_and_truncation(vocabulary):
 def test_vocabulary_over_the_limit_is_refused(vocabulary):
     with pytest.raises(ValueError, match="more than 10"):
         bpe.collect_ranks(vocabulary, limit=10)
+
+
+def test_coloured_rows_line_up(spark, shared):
+    ids = bpe.encode_column(shared)("text")
+    df = _texts(spark, ["xé the"]).select(ids.alias("ids")).withColumn("texts", bpe.token_texts_column(shared)("ids"))
+    row = df.select("ids", "texts", bpe.coloured_rows(F.col("ids"), F.col("texts")).alias("c")).first()
+    plain = lambda s: regex.sub(r"\x1b\[\d+m", "", s)
+    assert len(plain(row.c.ids)) == len(plain(row.c.texts)) == sum(max(len(str(i)), len(t)) for i, t in zip(row.ids, row.texts))
+    assert row.c.ids.startswith("\x1b[41m" + str(row.ids[0])) and row.c.ids.count("\x1b[0m") == len(row.ids)
