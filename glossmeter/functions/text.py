@@ -54,6 +54,11 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc_batch(suspect), text)
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def char_count(text: Column) -> Column:
     """Code points (of text already in NFC)."""
     return F.char_length(text).cast("bigint")

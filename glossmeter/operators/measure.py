@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glossmeter import dims
 from glossmeter.counters import TextCounter
+from glossmeter.functions.text import sql_text
 
 RAW_KEYS = ["corpus", "counter_id", "lang", "sentence_idx"]
 AGG_KEYS = ["corpus", "counter_id", "lang"]
@@ -35,18 +36,15 @@ def raw_counts(counted: DataFrame, counters: Sequence[TextCounter], measured_on:
     """
     entries = []
     for i, c in enumerate(counters):
-        n = F.col(f"_t{i}")
-        entry = F.struct(F.lit(c.counter_id).alias("counter_id"), F.lit(c.spec).alias("spec"),
-                         F.lit(measured_on).alias("measured_on"), (n + c.frame).alias("n_tokens"),
-                         n.alias("n_tokens_content"), F.lit(c.frame).cast("bigint").alias("envelope_tokens"))
-        measured = n.isNotNull()
-        if c.is_api:
-            measured = measured & (F.col("sentence_idx") < sample)
-        entries.append(F.when(measured, entry))
-    rows = counted.select("corpus", "lang", "sentence_idx", "n_chars",
-                          F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-    return rows.select("corpus", "_e.counter_id", "lang", "_e.spec", "_e.measured_on", "sentence_idx",
-                       "_e.n_tokens", "_e.n_tokens_content", "_e.envelope_tokens", "n_chars")
+        sampled = f" AND sentence_idx < {sample}" if c.is_api else ""
+        entries.append(f"CASE WHEN _t{i} IS NOT NULL{sampled} THEN named_struct("
+                       f"'counter_id', {sql_text(c.counter_id)}, 'spec', {sql_text(c.spec)}, 'measured_on', {sql_text(measured_on)}, "
+                       f"'n_tokens', _t{i} + {c.frame}, 'n_tokens_content', _t{i}, "
+                       f"'envelope_tokens', {c.frame}L) END")
+    rows = counted.selectExpr("corpus", "lang", "sentence_idx", "n_chars",
+                              f"inline(array_compact(array({', '.join(entries)})))")
+    return rows.select("corpus", "counter_id", "lang", "spec", "measured_on", "sentence_idx",
+                       "n_tokens", "n_tokens_content", "envelope_tokens", "n_chars")
 
 
 AGG_COLUMNS = ["corpus", "counter_id", "lang", "spec", "measured_on", "total_tokens", "total_chars"]
@@ -54,22 +52,17 @@ AGG_COLUMNS = ["corpus", "counter_id", "lang", "spec", "measured_on", "total_tok
 
 def additive_totals(counted: DataFrame, counters: Sequence[TextCounter], measured_on: str) -> DataFrame:
     """Aggregate rows of additive counters from counted units: one aggregation, map-side combined."""
-    aggs = [F.sum("n_chars").alias("total_chars")]
-    for i, c in enumerate(counters):
-        if c.joiner is not None:
-            aggs += [F.sum(f"_t{i}").alias(f"_s{i}"), F.count(f"_t{i}").alias(f"_n{i}")]
-    entries = []
+    sums, entries = ["sum(n_chars) AS total_chars"], []
     for i, c in enumerate(counters):
         if c.joiner is None:
             continue
-        total = F.col(f"_s{i}") + F.lit(c.joiner) * (F.col(f"_n{i}") - 1) + F.lit(c.frame)
-        entries.append(F.when(F.col(f"_n{i}") > 0, F.struct(
-            F.lit(c.counter_id).alias("counter_id"), F.lit(c.spec).alias("spec"),
-            F.lit(measured_on).alias("measured_on"), total.cast("bigint").alias("total_tokens"))))
-    long = counted.groupBy("corpus", "lang").agg(*aggs).select(
-        "corpus", "lang", "total_chars",
-        F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-    return long.select("corpus", "lang", "total_chars", "_e.*").select(*AGG_COLUMNS)
+        sums += [f"sum(_t{i}) AS _s{i}", f"count(_t{i}) AS _n{i}"]
+        entries.append(f"CASE WHEN _n{i} > 0 THEN named_struct('counter_id', {sql_text(c.counter_id)}, 'spec', {sql_text(c.spec)}, "
+                       f"'measured_on', {sql_text(measured_on)}, "
+                       f"'total_tokens', _s{i} + {c.joiner} * (_n{i} - 1) + {c.frame}) END")
+    totals = counted.groupBy("corpus", "lang").agg(*[F.expr(e) for e in sums])
+    long = totals.selectExpr("corpus", "lang", "total_chars", f"inline(array_compact(array({', '.join(entries)})))")
+    return long.select(*AGG_COLUMNS)
 
 
 def joined_totals(units: DataFrame, counter: TextCounter, measured_on: str) -> DataFrame:

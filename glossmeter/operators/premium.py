@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from glossmeter import dims
 from glossmeter.counters import TextCounter
 from glossmeter.functions.numbers import ratio, round_even
+from glossmeter.functions.text import sql_text
 from glossmeter.operators.quantiles import quantiles
 
 POINTS = {"premium_median": 0.50, "premium_p10": 0.10, "premium_p25": 0.25,
@@ -56,20 +57,17 @@ def unit_ratios(counted: DataFrame, counters: Sequence[TextCounter], baseline: s
     All counters of a sentence travel in one row, so the shuffle moves one row per unit and
     not one per unit and counter.
     """
-    sentence = Window.partitionBy("corpus", "sentence_idx")
-    bases = [F.max(F.when(F.col("lang") == baseline, F.col(f"_t{i}"))).over(sentence).alias(f"_b{i}")
-             for i in range(len(counters))]
+    tokens = [f"_t{i}" for i in range(len(counters))]
+    bases = [f"max(CASE WHEN lang = {sql_text(baseline)} THEN {t} END) OVER (PARTITION BY corpus, sentence_idx) AS _b{i}"
+             for i, t in enumerate(tokens)]
     entries = []
     for i, c in enumerate(counters):
-        value = ratio(F.col(f"_t{i}"), F.col(f"_b{i}"))
-        if c.is_api:
-            value = F.when(F.col("sentence_idx") < sample, value)
-        entries.append(F.when(value.isNotNull(), F.struct(F.lit(c.counter_id).alias("counter_id"),
-                                                          value.alias("ratio"))))
-    rows = counted.select("corpus", "lang", "sentence_idx", *[f"_t{i}" for i in range(len(counters))], *bases).select(
-        "corpus", "lang", "sentence_idx",
-        F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-    return rows.select("corpus", "_e.counter_id", "lang", "sentence_idx", "_e.ratio")
+        sampled = f" AND sentence_idx < {sample}" if c.is_api else ""
+        entries.append(f"CASE WHEN _t{i} IS NOT NULL AND _b{i} <> 0{sampled} THEN "
+                       f"named_struct('counter_id', {sql_text(c.counter_id)}, 'ratio', cast(_t{i} AS double) / _b{i}) END")
+    rows = counted.selectExpr("corpus", "lang", "sentence_idx", *tokens, *bases).selectExpr(
+        "corpus", "lang", "sentence_idx", f"inline(array_compact(array({', '.join(entries)})))")
+    return rows.select("corpus", "counter_id", "lang", "sentence_idx", "ratio")
 
 
 def distribution(ratios: DataFrame) -> DataFrame:

@@ -10,21 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Bins are relative: 2**BIN_BITS of them per factor of two.
 BIN_BITS = 10
+_PER_OCTAVE = 1 << BIN_BITS
 
-
-def _bin(value: Column) -> Column:
-    """Bin that grows with the value: binary exponent and leading mantissa bits."""
-    size = F.abs(value)
-    exponent = F.floor(F.log2(size))
-    mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << BIN_BITS))
-    # log2 may land a step low or high next to a power of two; clamping keeps bins ordered
-    mantissa = F.least(F.greatest(mantissa, F.lit(0)), F.lit((1 << BIN_BITS) - 1))
-    scaled = (exponent + 1100) * (1 << BIN_BITS) + mantissa + 1
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * scaled).cast("bigint")
+# Bin that grows with the value, from its binary exponent and leading mantissa bits. log2 may
+# land a step low or high next to a power of two; clamping the mantissa keeps bins ordered.
+_EXPONENT = "floor(log2(abs(_v)))"
+_MANTISSA = (f"least(greatest(floor((abs(_v) / power(2D, {_EXPONENT}) - 1D) * {_PER_OCTAVE}), 0), {_PER_OCTAVE - 1})")
+_BIN = (f"cast(CASE WHEN _v = 0D THEN 0 ELSE signum(_v) * (({_EXPONENT} + 1100) * {_PER_OCTAVE} + {_MANTISSA} + 1) END "
+        "AS bigint) AS _bin")
 
 
 def quantiles(rows: DataFrame, group: Sequence[str], value: str,
@@ -33,40 +30,28 @@ def quantiles(rows: DataFrame, group: Sequence[str], value: str,
 
     Null values do not count. ``mean`` and ``count`` name optional extra columns.
     """
-    v = F.col(value).cast("double")
-    merged = (rows.where(v.isNotNull()).select(*group, v.alias("_v"))
+    merged = (rows.select(*group, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
               .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_bin", _bin(F.col("_v"))))
-    bins = merged.groupBy(*group, "_bin").agg(F.sum("_c").alias("_c"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = []
-    for q in points.values():
-        at = F.lit(float(q)) * (F.col("_n") - 1)
-        ranks += [F.floor(at), F.ceil(at)]
-    marked = bins.select(*group, "_bin", "_c", F.sum("_c").over(whole).alias("_n"), F.sum("_s").over(whole).alias("_total"),
-                         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    hit = F.exists(F.array(*ranks), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
+              .selectExpr(*group, "_v", "_c", _BIN))
+    bins = merged.groupBy(*group, "_bin").agg(F.expr("sum(_c) AS _c"), F.expr("sum(_v * _c) AS _s"))
+    keys = ", ".join(group)
+    before = f"(PARTITION BY {keys} ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    marked = bins.selectExpr(*group, "_bin", "_c", f"sum(_c) OVER (PARTITION BY {keys}) AS _n",
+                             f"sum(_s) OVER (PARTITION BY {keys}) AS _total",
+                             f"coalesce(sum(_c) OVER {before}, 0) AS _start")
+    places = [f"{float(q)!r}D * (_n - 1)" for q in points.values()]
+    ranks = [f"{side}({at})" for at in places for side in ("floor", "ceil")]
+    hit = " OR ".join(f"({r} >= _start AND {r} < _start + _c)" for r in ranks)
     wanted = marked.where(hit).select(*group, "_bin", "_n", "_total", "_start")
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.col("_start") + F.sum("_c").over(upto)
-    placed = merged.join(wanted, [*group, "_bin"]).select(*group, "_v", "_n", "_total", "_c", hi.alias("_hi"))
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_hi") - F.col("_c")) & (rank < F.col("_hi")), F.col("_v")))
-
-    picks = [F.max("_n").alias("_n"), F.max("_total").alias("_total")]
-    for i, _ in enumerate(points):
-        picks += [at_rank(ranks[2 * i]).alias(f"_a{i}"), at_rank(ranks[2 * i + 1]).alias(f"_b{i}")]
-    found = placed.groupBy(*group).agg(*picks)
-    out = [F.col(c) for c in group]
+    upto = f"(PARTITION BY {keys}, _bin ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    placed = merged.join(wanted, [*group, "_bin"]).selectExpr(
+        *group, "_v", "_n", "_total", "_c", f"_start + sum(_c) OVER {upto} AS _hi")
+    picks = [F.expr(f"max(CASE WHEN {r} >= _hi - _c AND {r} < _hi THEN _v END) AS _r{i}") for i, r in enumerate(ranks)]
+    found = placed.groupBy(*group).agg(F.expr("max(_n) AS _n"), F.expr("max(_total) AS _total"), *picks)
+    out = [f"_r{2 * i} + (_r{2 * i + 1} - _r{2 * i}) * ({at} - floor({at})) AS {name}"
+           for i, (name, at) in enumerate(zip(points, places))]
     if count:
-        out.append(F.col("_n").alias(count))
-    for i, (name, q) in enumerate(points.items()):
-        at = F.lit(float(q)) * (F.col("_n") - 1)
-        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        out.insert(0, f"_n AS {count}")
     if mean:
-        out.append((F.col("_total") / F.col("_n")).alias(mean))
-    return found.select(*out)
+        out.append(f"_total / _n AS {mean}")
+    return found.selectExpr(*group, *out)

@@ -412,9 +412,9 @@ def duplicate_ids(w: Workload) -> DataFrame:
 @query
 def drawn_coverage(w: Workload) -> DataFrame:
     """Measured headline counters that the dollar order leaves out, when prices do not excuse it."""
-    order = charts.priced_order(w.cost, w.counters, w.corpora, DIMS.lead)
-    drawn = charts.series(w.cost, order, "cost_usd_per_1k_chars")
-    return charts.undrawn(w.cost, drawn, w.counters)
+    order = charts.priced_order(w.costs, w.counters, w.corpora, DIMS.lead)
+    drawn = charts.series(w.costs, order, "cost_usd_per_1k_chars")
+    return charts.undrawn(w.costs, drawn, w.counters)
 
 
 # -- parity tables -------------------------------------------------------------------------
@@ -523,18 +523,18 @@ def heatmap_scale(w: Workload) -> DataFrame:
 
 @query
 def chart_cost_driver(w: Workload) -> DataFrame:
-    return charts.series(w.cost, _headline(w), "tokens_per_1k_chars")
+    return charts.series(w.costs, _headline(w), "tokens_per_1k_chars")
 
 
 @query
 def chart_usd_per_1m_chars(w: Workload) -> DataFrame:
-    rows = charts.series(w.cost, _priced(w), "cost_usd_per_1k_chars", 1000.0)
+    rows = charts.series(w.costs, _priced(w), "cost_usd_per_1k_chars", 1000.0)
     return rows.withColumn("value", N.round_even(F.col("value"), 6))
 
 
 @query
 def chart_usd_per_1k_units(w: Workload) -> DataFrame:
-    rows = charts.series(w.cost, _priced(w), "cost_usd_per_sentence", 1000.0)
+    rows = charts.series(w.costs, _priced(w), "cost_usd_per_sentence", 1000.0)
     return rows.withColumn("value", N.round_even(F.col("value"), 6))
 
 
@@ -544,7 +544,7 @@ def group_extreme(w: Workload) -> DataFrame:
 
 
 def _ladder(w: Workload) -> DataFrame:
-    return charts.cost_ladder(w.cost, _priced(w), DIMS.lead)
+    return charts.cost_ladder(w.costs, _priced(w), DIMS.lead)
 
 
 @query
@@ -559,7 +559,7 @@ def cost_spread(w: Workload) -> DataFrame:
 
 
 def _gaps(w: Workload) -> DataFrame:
-    return charts.tax_gap(w.cost, _priced(w), DIMS.baseline, DIMS.lead)
+    return charts.tax_gap(w.costs, _priced(w), DIMS.baseline, DIMS.lead)
 
 
 @query
@@ -585,30 +585,30 @@ def fold_legend(w: Workload) -> DataFrame:
 
 @query
 def same_tokens_diff_price(w: Workload) -> DataFrame:
-    return charts.same_tokens_different_price(w.folds, w.cost, w.counters, w.prices, _priced(w))
+    return charts.same_tokens_different_price(w.folds, w.costs, w.counters, w.prices, _priced(w))
 
 
 @query
 def price_confidence_note(w: Workload) -> DataFrame:
-    return charts.hedged_prices(w.cost, w.counters, w.prices, _priced(w))
+    return charts.hedged_prices(w.costs, w.counters, w.prices, _priced(w))
 
 
 @query
 def unpriced_note(w: Workload) -> DataFrame:
-    return charts.unpriced_headlines(w.cost, w.counters, w.prices)
+    return charts.unpriced_headlines(w.costs, w.counters, w.prices)
 
 
 @query
 def price_as_of(w: Workload) -> DataFrame:
-    en = charts.price_dates(w.cost, w.prices, "en")
-    vi = charts.price_dates(w.cost, w.prices, "vi").withColumnRenamed("as_of", "as_of_vi")
+    en = charts.price_dates(w.costs, w.prices, "en")
+    vi = charts.price_dates(w.costs, w.prices, "vi").withColumnRenamed("as_of", "as_of_vi")
     return en.join(vi, "corpus")
 
 
 @query
 def chart_captions(w: Workload) -> DataFrame:
-    order = staged(_priced(w))
-    both = [charts.cost_captions(w.cost, w.folds, w.counters, w.prices, order, locale).withColumn("locale", F.lit(locale))
+    order, folds = staged(_priced(w)), staged(w.folds)
+    both = [charts.cost_captions(w.costs, folds, w.counters, w.prices, order, locale).withColumn("locale", F.lit(locale))
             for locale in ("en", "vi")]
     return both[0].unionByName(both[1])
 
@@ -622,7 +622,7 @@ def gap_caption(w: Workload) -> DataFrame:
 @query
 def locale_number_format(w: Workload) -> DataFrame:
     vnd, usd = F.col("cost_vnd_per_1k_chars") * 1000.0, F.col("price_usd_per_mtok")
-    rows = w.cost.where(F.col("cost_usd_per_1k_chars").isNotNull())
+    rows = w.costs.where(F.col("cost_usd_per_1k_chars").isNotNull())
     return rows.select("corpus", "counter_id", "lang",
                        *[f.alias(f"{name}_{loc}") for loc in ("en", "vi") for name, f in (
                            ("number", N.locale_number(vnd, 2, loc)), ("money", N.locale_money(usd, loc)),

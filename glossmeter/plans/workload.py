@@ -182,9 +182,14 @@ class Workload:
     def cost(self) -> DataFrame:
         return cost.cost_table(self.totals, self.sizes, self.prices, self.languages)
 
+    @cached_property
+    def costs(self) -> DataFrame:
+        """``cost`` as a written table, for charts that look at it from several sides."""
+        return staged(self.cost)
+
     @cached_property
     def priced_order(self) -> DataFrame:
-        return charts.priced_order(self.cost, self.counters, self.corpora, DIMS.lead)
+        return charts.priced_order(self.costs, self.counters, self.corpora, DIMS.lead)
 
     @cached_property
     def headline_order(self) -> DataFrame:
