@@ -73,6 +73,7 @@ def prefix_vocabulary(texts: DataFrame, words: int = 1000) -> DataFrame:
 # -- encoders on the workers ---------------------------------------------------------------
 
 _encodings: dict[tuple, object] = {}
+MAX_ENCODERS = 64       # kept per worker process; a sweep needs one per size
 
 
 def _encoding(ranks, pattern: str, special: tuple[tuple[str, int], ...] = ()):
@@ -80,6 +81,8 @@ def _encoding(ranks, pattern: str, special: tuple[tuple[str, int], ...] = ()):
     key = (ranks.id if hasattr(ranks, "id") else id(ranks), pattern, special)
     if key not in _encodings:
         import tiktoken
+        if len(_encodings) >= MAX_ENCODERS:
+            _encodings.clear()
         _encodings[key] = tiktoken.Encoding("custom", pat_str=pattern, mergeable_ranks=ranks.value,
                                             special_tokens=dict(special))
     return _encodings[key]
@@ -129,7 +132,7 @@ def count_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN,
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoding(ranks, pattern, specials)
         for batch in batches:
-            yield batch.map(lambda s: len(encoder.encode(s)), na_action="ignore").astype("Int64")
+            yield batch.map(lambda s: len(encoder.encode_to_numpy(s)), na_action="ignore").astype("Int64")
     return count
 
 
@@ -269,42 +272,58 @@ def align(tokens: Iterable[int], decode: Callable[[list[int]], str]) -> list[tup
 class _Aligner:
     """Alignment of many texts under one vocabulary.
 
-    Tokens that decode on their own, nearly all of them, are groups of one and are looked up;
-    only the places in between walk through the buffering rule.
+    Tokens that decode on their own, nearly all of them, are groups of one; only the places in
+    between walk through the buffering rule. A group is named by a code: its token, or a
+    number past the vocabulary for a text put together here.
     """
 
     def __init__(self, encoder):
         self.encoder = encoder
         alone = [encoder.decode([t]) for t in range(encoder.n_vocab)]
-        self.texts = np.array(alone, dtype=object)
+        self.texts = pa.array(alone, pa.string())
         self.whole = np.array([bool(t) and t != INCOMPLETE for t in alone])
-
-    def groups(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Token ids, group sizes and group texts of one text, dropped rest excluded."""
-        ids = np.asarray(self.encoder.encode(text), dtype=np.int64)
-        whole = self.whole[ids] if len(ids) else np.zeros(0, dtype=bool)
-        odd = np.flatnonzero(~whole)
-        sizes, texts, at = [], [], 0
-        while at < len(ids):
-            k = np.searchsorted(odd, at)
-            stop = int(odd[k]) if k < len(odd) else len(ids)
-            if stop > at:
-                sizes.append(np.ones(stop - at, dtype=np.int64))
-                texts.extend(self.texts[ids[at:stop]])
-                at = stop
+        self.known: dict[bytes, int] = {}       # codes of put-together groups, by their tokens
+        self.extra: list[str] = []
+
+    def _group(self, ids: np.ndarray, at: int) -> tuple[int, int] | None:
+        """(end, code) of the group that starts at a token which does not decode alone."""
+        for end in range(at + 2, len(ids) + 1):
+            key = ids[at:end].tobytes()
+            code = self.known.get(key)
+            if code is None:
+                text = self.encoder.decode(ids[at:end].tolist())
+                if not text or text == INCOMPLETE:
+                    continue
+                code = self.known[key] = len(self.texts) + len(self.extra)
+                self.extra.append(text)
+            return end, code
+        return None
+
+    def groups(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids, group sizes and group codes of one text, dropped rest excluded."""
+        ids = self.encoder.encode_to_numpy(text).astype(np.int64)
+        starts, sizes, codes, at = [], [], [], 0
+        for odd in np.flatnonzero(~self.whole[ids]).tolist():
+            if odd < at:
                 continue
-            end = at + 1
-            while end <= len(ids):
-                found = self.encoder.decode(ids[at:end].tolist())
-                if found and found != INCOMPLETE:
-                    break
-                end += 1
-            if end > len(ids):
+            found = self._group(ids, odd)
+            if found is None:
+                ids = ids[:odd]
                 break
-            sizes.append(np.array([end - at]))
-            texts.append(found)
-            at = end
-        return ids[:at], (np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)), texts
+            at, code = found
+            starts.append(odd)
+            sizes.append(at - odd)
+            codes.append(code)
+        if not starts:
+            return ids, np.ones(len(ids), dtype=np.int64), ids
+        size, code, kept = np.ones(len(ids), dtype=np.int64), ids.copy(), np.ones(len(ids), dtype=bool)
+        size[starts], code[starts] = sizes, codes
+        for start, n in zip(starts, sizes):
+            kept[start + 1:start + n] = False
+        return ids, size[kept], code[kept]
+
+    def all_texts(self) -> pa.Array:
+        return pa.concat_arrays([self.texts, pa.array(self.extra, pa.string())])
 
 
 def _offsets(sizes) -> pa.Array:
@@ -318,10 +337,10 @@ def align_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Colum
         aligner = _Aligner(_encoding(ranks, pattern))
         for batch in batches:
             parts = [aligner.groups(s or "") for s in batch.to_pylist()]
-            ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, dtype=np.int64)])
-            sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, dtype=np.int64)])
+            none = np.zeros(0, dtype=np.int64)
+            ids, sizes, codes = (np.concatenate([p[k] for p in parts] or [none]) for k in range(3))
             tokens = pa.ListArray.from_arrays(_offsets(sizes), pa.array(ids))
-            texts = pa.array([t for p in parts for t in p[2]], pa.string())
+            texts = aligner.all_texts().take(pa.array(codes))
             groups = pa.StructArray.from_arrays([tokens, texts], ["tokens", "text"])
             yield pa.ListArray.from_arrays(_offsets([len(p[1]) for p in parts]), groups)
     return aligned
@@ -333,7 +352,7 @@ def token_texts_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         aligner = _Aligner(_encoding(ranks, pattern))
         for batch in batches:
-            yield batch.map(lambda ids: list(aligner.texts[np.asarray(ids, dtype=np.int64)]), na_action="ignore")
+            yield batch.map(lambda ids: aligner.texts.take(pa.array(ids, pa.int64())).to_pylist(), na_action="ignore")
     return texts
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmeter import dims as D
 from glossmeter.counters import TextCounter, build
+from glossmeter.functions import text as T
 from glossmeter.operators import carry, charts, coincidence, cost, fingerprint, gates, measure, parity, premium
 from glossmeter.session import ship
 from glossmeter.sources import tables
@@ -141,9 +142,18 @@ def measure_counters(units: DataFrame, matrix: Sequence[D.Counter], builder: Bui
     return out
 
 
-def _fingerprints(units: DataFrame, languages: Sequence[str]) -> dict[str, dict]:
-    digests = units.select("corpus", "lang", "sentence_idx", F.sha2("text", 256).alias("digest"))
-    found = fingerprint.corpus_fingerprints(digests, languages).collect()
+def unit_index(units: DataFrame) -> DataFrame:
+    """(corpus, lang, sentence_idx, digest, blank) as a written table.
+
+    One pass over the text; sizes, alignment, blank lines and fingerprints are read from it.
+    """
+    text = F.col("text")
+    return staged(units.select("corpus", "lang", "sentence_idx", F.sha2(text, 256).alias("digest"),
+                               T.is_blank(text).alias("blank")))
+
+
+def _fingerprints(index: DataFrame, languages: Sequence[str]) -> dict[str, dict]:
+    found = fingerprint.corpus_fingerprints(index, languages).collect()
     return {r["corpus"]: {"n_sentences": r["n_sentences"], "fingerprint": r["fingerprint"]} for r in found}
 
 
@@ -163,10 +173,13 @@ def measure_pass(results: Results, units: DataFrame, dims: D.Dimensions, builder
 
     units = units.where(F.col("lang").isin(languages) & F.col("corpus").isin(list(dims.corpora)))
     mine = units.where(F.col("corpus").isin(selected))
-    sizes = staged(measure.corpus_sizes(units, dims.baseline))
-    gates.require_sentences(sizes, selected)
-    gates.require_aligned(measure.alignment(mine))
-    prints = _fingerprints(units, languages)
+    index = unit_index(units)
+    chosen_index = index.where(F.col("corpus").isin(selected))
+    gates.require_sentences(measure.corpus_sizes(index, dims.baseline), selected)
+    gates.require_aligned(measure.alignment(chosen_index))
+    gates.require_empty(chosen_index.where("blank").select("corpus", "lang", "sentence_idx"),
+                        "blank lines would shift the alignment")
+    prints = _fingerprints(index, languages)
 
     prior_raw, prior_agg, prior = results.raw, results.agg, results.manifest
     whole = set(selected) == set(dims.corpora) and set(chosen) == set(dims.counter_ids())
@@ -257,8 +270,9 @@ def analyze(results: Results, units: DataFrame, dims: D.Dimensions) -> dict:
     spark, manifest = results.spark, results.manifest
     languages = list(dims.languages)
     recorded = manifest.get("corpora_fingerprint", {})
+    index = unit_index(units.where(F.col("lang").isin(languages)))
     if recorded:
-        now = _fingerprints(units, languages)
+        now = _fingerprints(index, languages)
         changed = sorted(c for c, was in recorded.items()
                          if c in dims.corpora and was.get("fingerprint") != now.get(c, {}).get("fingerprint"))
         if changed:
@@ -268,7 +282,7 @@ def analyze(results: Results, units: DataFrame, dims: D.Dimensions) -> dict:
         raise gates.Refused("no aggregate counts are stored")
     raw = raw if raw is not None else spark.createDataFrame([], tables.RAW_SCHEMA)
     names, prices = dims.languages_df(spark), dims.prices_df(spark)
-    sizes = staged(measure.corpus_sizes(units, dims.baseline))
+    sizes = measure.corpus_sizes(index, dims.baseline)
     gates.require_empty(premium.missing_cells(agg, languages), "counters without rows for configured languages")
     gates.require_sentences(sizes, [r["corpus"] for r in agg.select("corpus").distinct().collect()])
     gates.require_chars(agg)

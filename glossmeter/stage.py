@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
@@ -19,7 +22,10 @@ def stage_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="glossmeter-")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.TemporaryDirectory(prefix="glossmeter-")     # removed when Python ends
+    return _local[app].name
 
 
 def staged(frame: DataFrame) -> DataFrame:

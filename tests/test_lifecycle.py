@@ -131,6 +131,11 @@ def test_misaligned_corpus_is_refused(spark, results):
         L.measure_pass(results, _units(spark, {"eng_Latn": ["a", "b"], "vie_Latn": ["c"]}), _dims(), _builder())
 
 
+def test_blank_lines_are_refused(spark, results):
+    with pytest.raises(gates.Refused, match="blank.*'sentence_idx': 1"):
+        L.measure_pass(results, _units(spark, {"eng_Latn": ["a", "b"], "vie_Latn": ["c", "\u3000"]}), _dims(), _builder())
+
+
 def test_changed_corpus_is_refused_by_later_stages(spark, results):
     two = {"flores": "FLORES+", "massive": "MASSIVE"}
     units = _units(spark).unionByName(_units(spark, name="massive"))
