@@ -189,17 +189,17 @@ def measure_pass(results: Results, units: DataFrame, dims: D.Dimensions, builder
     got = measure_counters(mine, [c for c in dims.counters if c.counter_id in chosen], builder, measured_on, sample)
 
     notes: list[str] = []
-    reference = prior_agg if prior_agg is not None else prior_raw
+    base_rows = prior_agg if prior_agg is not None else prior_raw
     kept_counters: list[str] = []
     kept_corpora: list[str] = []
-    if reference is not None:
-        notes += [f"purged {r['axis']} {r['value']}" for r in carry.purged(reference, dims).collect()]
+    if base_rows is not None:
+        notes += [f"purged {r['axis']} {r['value']}" for r in carry.purged(base_rows, dims).collect()]
         recorded = prior.get("corpora_fingerprint", {})
         for corpus in sorted(set(dims.corpora) - set(selected)):
             was, now = recorded.get(corpus, {}).get("fingerprint"), prints.get(corpus, {}).get("fingerprint")
             if was and now and was != now:
                 raise gates.Refused(f"corpus {corpus!r} changed since its stored rows were measured; measure it again")
-        kept = carry.carried(reference, dims, selected, got.ran)
+        kept = carry.carried(base_rows, dims, selected, got.ran)
         kept_counters = sorted({r[0] for r in kept.select("counter_id").distinct().collect()} - set(got.ran))
         kept_corpora = sorted({r[0] for r in kept.select("corpus").distinct().collect()} - set(selected))
         matrix = dims.counters_df(spark)
