@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import repetition, sharding
+from glossmeter.llm import packing, repetition, sharding, token_counts, toxicity, url_lists
 
 QUERIES = {
+    "op2_ordinal_toxicity": toxicity.score_documents,
+    "op3_offset_token_counts": token_counts.count_documents,
+    "op4_temporal_url_lists": url_lists.filter_pages,
+    "op5_nnls_packing": packing.pack_documents,
     "op8_quality_repetition": repetition.quality_documents,
     "op9_histogram_sort": sharding.shard_documents,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_temporal_url_lists": url_lists.ORACLE,
+}
