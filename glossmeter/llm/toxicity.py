@@ -31,9 +31,9 @@ from glossmeter.stage import staged
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Hash buckets; documents that must have a bucket; grades.
-BUCKETS, MIN_DOCS, GRADES = 1 << 20, 20, 3
+BUCKETS, MIN_DOCS, GRADES = 1 << 20, 4, 3
 #: Standard deviations by which a bucket must stand out in a grade; the fit's rounds, rate and penalty.
-CHANCE = 8.0
+CHANCE = 6.0
 ROUNDS, RATE, PENALTY = 200, 0.05, 1e-4
 #: Bytes of the beginnings of words that are features beside the words.
 HEADS = (4, 5, 6)
