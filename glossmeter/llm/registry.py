@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import packing, repetition, sharding, signature_tree, token_counts, toxicity, url_lists
+from glossmeter.llm import packing, paragraphs, repetition, sharding, signature_tree, token_counts, toxicity, url_lists
 
 QUERIES = {
     "op2_ordinal_toxicity": toxicity.score_documents,
     "op3_offset_token_counts": token_counts.count_documents,
     "op4_temporal_url_lists": url_lists.filter_pages,
     "op5_nnls_packing": packing.pack_documents,
+    "op6_paragraph_minhash": paragraphs.dedup_documents,
     "op8_quality_repetition": repetition.quality_documents,
     "op9_histogram_sort": sharding.shard_documents,
     "op10_signature_tree_join": signature_tree.join_documents,

@@ -108,11 +108,12 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return over_batches(as_bytes(docs, "doc_id"), work, "doc_id long, sid long, n_shingles long, keys binary")
 
 
-def shared_parts(found: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all sets with a key in common.
+def shared_keys(found: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets with a key in common; (a, a) for a set met again.
 
-    Sets that share a key inside a batch are connected there, and one of them goes on, so that a key of
-    very many sets is a few rows; these are sorted by key and connected as they stream past.
+    found: sid, keys (packed). Sets that share a key inside a batch are connected there, and one of them
+    goes on, so that a key of very many sets is a few rows; these are sorted by key and connected as
+    they stream past.
     """
     def keyed(batch: pa.RecordBatch):
         rows = [(s, np.frombuffer(k, np.uint64)) for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if k]
@@ -124,7 +125,7 @@ def shared_parts(found: DataFrame) -> DataFrame:
         key, sid = key[order], sid[order]
         new = np.diff(key, prepend=~key[:1]) != 0
         head = sid[new][np.cumsum(new) - 1]
-        edge = np.unique(np.stack([head, sid], 1)[~new & (head != sid)], axis=0)
+        edge = np.unique(np.stack([head, sid], 1)[~new], axis=0)
         where = np.concatenate([key[new].view(np.int64), mix(edge[:, 1].astype(np.uint64)).view(np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.concatenate([head[new], edge[:, 0]])),
                                           pa.array(np.concatenate([np.full(new.sum(), -1), edge[:, 1]]))], names=["key", "a", "b"])
@@ -142,13 +143,13 @@ def shared_parts(found: DataFrame) -> DataFrame:
                     new[0] = False
                 centers = np.concatenate([[center if center is not None else -1], sid[new]])
                 head = centers[np.cumsum(new)]
-                edges.append(np.stack([head, sid], 1)[head != sid])
+                edges.append(np.stack([head, sid], 1)[~new])
                 last, center = key[-1], head[-1]
             edge = np.unique(np.concatenate(edges), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["a", "b"])
 
     rows = over_batches(found.where("keys is not null").select("sid", "keys"), keyed, "key long, a long, b long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(connect, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(connect, "a long, b long")
 
 
 # -- trees ---------------------------------------------------------------------------------------
@@ -325,7 +326,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select("doc_id", "text")
     found = staged(sets(docs, width, percent))
-    trees = staged(components(shared_parts(found)))
+    trees = staged(components(shared_keys(found)))
     chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
               .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
     members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
