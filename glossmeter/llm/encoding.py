@@ -36,72 +36,79 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for entry, i in vocabulary.items():
             self.n_bytes[i] = len(entry)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.spans: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, each after a space, in one call and remember (ids, spans) of each.
+    def _learn(self, chunks: list[str], spans: bool) -> None:
+        """Encode chunks, each after a space, in one call and remember the ids (or spans) of each.
 
         Spans are counted from the space. A token that holds a part of a character's bytes spans it.
         """
-        raw = [(" " + c).encode() for c in chunks]
-        joined = b"".join(raw)
-        ids = self._ids(joined.decode())
+        joined = "".join([" " + c for c in chunks])
+        ids = self._ids(joined)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)              # the first byte of each character
+        ends = np.append(first, len(raw))[np.cumsum(size)]
         after = np.cumsum(self.n_bytes[ids])
-        ends = np.cumsum([len(r) for r in raw])
-        last = np.searchsorted(after, ends) + 1               # tokens up to and with the chunk
-        char = np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80) - 1
-        first = char[ends - [len(r) for r in raw]]            # the chunk's first character
-        base = np.repeat(first, np.diff(last, prepend=0))
-        low = char[np.concatenate(([0], after[:-1]))] - base
-        high = char[after - 1] + 1 - base
-        packed, spans = ids.tobytes(), np.stack([low, high], 1).astype(np.int32).tobytes()
-        start = 0
-        for chunk, stop in zip(chunks, last.tolist()):
-            self.known[chunk] = packed[4 * start:4 * stop], spans[8 * start:8 * stop]
-            start = stop
+        last = np.searchsorted(after, ends) + 1                   # tokens up to and with the chunk
+        if spans:
+            char = np.cumsum((raw & 0xC0) != 0x80) - 1
+            base = np.repeat(np.cumsum(size) - size, np.diff(last, prepend=0))
+            low = char[np.concatenate(([0], after[:-1]))] - base
+            high = char[after - 1] + 1 - base
+            packed, width, known = np.stack([low, high], 1).astype(np.int32).tobytes(), 8, self.spans
+        else:
+            packed, width, known = ids.tobytes(), 4, self.ids
+        cut = (last * width).tolist()
+        known.update(zip(chunks, [packed[i:j] for i, j in zip([0, *cut], cut)]))
 
     def _whole(self, text: str) -> tuple[bytes, bytes]:
         got = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(got.ids, np.uint32).tobytes(), np.array(got.offsets, np.int32).tobytes()
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Chunks between the spaces that begin a piece; None if the text is to be encoded as it is."""
+    def _cut(self, text: str, known: dict[str, bytes], fresh: set[str]) -> list[str] | None:
+        """Chunks between the spaces that begin a piece, the new ones also to `fresh`; None if the text is to be encoded as it is."""
         if not text or any(s in text for s in self.special):
             return None
         chunks = text.split(" ")
-        if any(not c or c[0].isspace() or c[-1].isspace() for c in set(chunks).difference(self.known)):
+        new = set(chunks).difference(known)
+        if any([not c or c[0].isspace() or c[-1].isspace() for c in new]):
             chunks = _CUT.split(text)
             if chunks[0][:1].isspace():
                 return None
+            new = set(chunks[1:]).difference(known)
+        fresh |= new
         return chunks
 
     def encode(self, texts: list[str], spans: bool = False) -> list:
         """Per text: its ids as little-endian unsigned 32-bit numbers, or with `spans` the starts and ends of its tokens."""
-        cuts = [self._cut(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({c for cut in cuts if cut for c in cut[1:]}.difference(self.known))
-        for i in range(0, len(fresh), GROUP):
-            self._learn(fresh[i:i + GROUP])
+        known = self.spans if spans else self.ids
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh: set[str] = set()
+        cuts = [self._cut(t, known, fresh) for t in texts]
+        new = list(fresh)
+        for i in range(0, len(new), GROUP):
+            self._learn(new[i:i + GROUP], spans)
         return [(self._spans if spans else self._packed)(t, c) for t, c in zip(texts, cuts)]
 
     def _packed(self, text: str, chunks: list[str] | None) -> bytes:
         if chunks is None:
             return self._whole(text)[0] if text else b""
-        known = self.known
-        return b"".join([self._whole(chunks[0])[0], *[known[c][0] for c in chunks[1:]]])
+        return b"".join([self._ids(chunks[0]).tobytes(), *map(self.ids.__getitem__, chunks[1:])])
 
     def _spans(self, text: str, chunks: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
         if chunks is None:
-            parts = [self._whole(text)[1]] if text else [b""]
-            base = 0
+            parts, base = [self._whole(text)[1]] if text else [b""], 0
         else:
-            parts = [self._whole(chunks[0])[1], *[self.known[c][1] for c in chunks[1:]]]
-            starts = np.cumsum([len(chunks[0]), *[len(c) + 1 for c in chunks[1:]]])
-            base = np.repeat(np.concatenate(([0], starts[:-1])), [len(p) // 8 for p in parts])[:, None]
+            parts = [self._whole(chunks[0])[1], *map(self.spans.__getitem__, chunks[1:])]
+            size = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+            size[0] -= 1
+            base = np.repeat(np.cumsum(size) - size, np.fromiter(map(len, parts), np.int64, len(parts)) // 8)[:, None]
         both = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2) + base
         return both[:, 0], both[:, 1]
 

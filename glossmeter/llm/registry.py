@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import packing, paragraphs, repetition, sharding, signature_tree, token_counts, toxicity, url_lists
+from glossmeter.llm import decontamination, packing, paragraphs, repetition, sharding, signature_tree, token_counts, toxicity, url_lists
 
 QUERIES = {
     "op2_ordinal_toxicity": toxicity.score_documents,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_temporal_url_lists": url_lists.filter_pages,
     "op5_nnls_packing": packing.pack_documents,
     "op6_paragraph_minhash": paragraphs.dedup_documents,
+    "op7_simhash_decontamination": decontamination.decontaminate_documents,
     "op8_quality_repetition": repetition.quality_documents,
     "op9_histogram_sort": sharding.shard_documents,
     "op10_signature_tree_join": signature_tree.join_documents,
