@@ -100,7 +100,7 @@ def telling(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """Best window of each contaminated (document, item): (doc_id, item_id, start_word, n_words, distance, similarity)."""
+    """Best window of each contaminated (document, item): (doc_id, text_hash, item_id, start_word, n_words, distance, similarity)."""
     docs = docs.select("doc_id", "text").where("text is not null")
     shingles = staged(item_shingles(items))
     rare = staged(telling(shingles, percent))
@@ -155,12 +155,18 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radi
               .withColumn("_union", F.col("_window") + F.col("total") - F.col("_both"))
               .where(100 * F.col("_both") >= percent * F.col("_union")))
     best = (scored.alias("s").join(near.alias("n"), [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in name])
-            .groupBy("s.doc_id", "s.item_id")
+            .groupBy("s.doc_id", "s._text", "s.item_id")
             .agg(F.max_by(F.struct("s.start", "s.size", "n.distance", (F.col("_both") / F.col("_union")).alias("similarity")),
                           F.struct(F.col("_both") / F.col("_union"), -F.col("s.start"), F.col("s.size"))).alias("b")))
-    return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"),
+    return best.select("doc_id", F.col("_text").alias("text_hash"), "item_id", F.col("b.start").cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"),
                        F.col("b.distance").cast("long").alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that no item contaminates, with their columns."""
+    bad = staged(contaminated(docs, items).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct())
+    return docs.join(checked_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
+
+
 def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")

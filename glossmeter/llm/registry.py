@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import decontamination, packing, paragraphs, repetition, sharding, signature_tree, token_counts, toxicity, url_lists
+from glossmeter.llm import decontamination, packing, paragraphs, repetition, sharding, signature_tree, suffix_tree, token_counts, toxicity, url_lists
 
 QUERIES = {
+    "op1_suffix_tree_scores": suffix_tree.score_documents,
     "op2_ordinal_toxicity": toxicity.score_documents,
     "op3_offset_token_counts": token_counts.count_documents,
     "op4_temporal_url_lists": url_lists.filter_pages,

@@ -181,6 +181,8 @@ def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns, whatever these are called."""
     names = docs.columns
-    return quality(docs, names).where("kept").select(names)
+    safe = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], "text")
+    kept = quality(safe, [f"_c{i}" for i in range(len(names))]).where("kept")
+    return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
