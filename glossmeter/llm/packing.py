@@ -57,6 +57,8 @@ def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = ROUNDS) -> np
     A[l, j]: how often combination j uses length l.
     """
     size = len(histogram)
+    if not len(combos):
+        return np.zeros(0)
     target = histogram.astype(float)
     target[0] = 0
 
@@ -90,6 +92,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
     """
     stock = histogram.astype(np.int64).copy()
     combos = combinations(window)
+    combos = combos[((stock[combos] > 0) | (combos == 0)).all(1)]        # of lengths that there are
     wanted = solve(stock, combos)
     kinds: list[tuple[int, ...]] = []
     repeats: list[int] = []
