@@ -22,6 +22,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus)
+             .config("glossmeter.spread", cpus)             # the tables of the bench are single files
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC")

@@ -51,22 +51,25 @@ def byte_vocabulary(spark) -> DataFrame:
         F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").alias("rank"))
 
 
-def prefix_vocabulary(texts: DataFrame, words: int = 1000) -> DataFrame:
-    """Small vocabulary from the data itself, where no vocabulary file is at hand.
-
-    The single bytes plus every prefix of the most frequent words (leading space included).
-    Prefixes are ranked short before long, then by weight, so each can be reached by merging
-    the next shorter one with a following token. Its size is bounded by ``words``.
+def prefix_vocabulary(texts: DataFrame, size: int) -> DataFrame:
+    """Vocabulary of ``size`` tokens from the data itself, where no vocabulary file is at hand.
+
+    The single bytes, then the heaviest prefixes of all words (leading space included). A
+    prefix weighs as much as all words that begin with it, and of equal weights the shorter
+    comes first; so the next shorter prefix always has a lower rank, and each token can be
+    reached by merging it with a following one. Every word of the texts counts; the size is
+    that of the vocabulary, and only that many prefixes are ranked.
     """
-    top = (texts.select(F.explode(F.regexp_extract_all("text", F.lit(r" ?\p{L}+"), F.lit(0))).alias("word"))
-           .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "word").limit(words))
-    prefixes = (top.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")),
+    words = (texts.select(F.explode(F.regexp_extract_all("text", F.lit(r" ?\p{L}+"), F.lit(0))).alias("word"))
+             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    prefixes = (words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")),
                                                      lambda i: F.substr(F.col("word"), F.lit(1), i))).alias("prefix"))
                 .groupBy("prefix").agg(F.sum("n").alias("n"))
                 .where(F.octet_length("prefix") > 1))
-    place = F.row_number().over(Window.orderBy(F.char_length("prefix"), F.desc("n"), "prefix"))
-    longer = prefixes.select(F.encode("prefix", "UTF-8").alias("token"), (place + 255).cast("bigint").alias("rank"))
+    order = [F.desc("n"), F.char_length("prefix"), F.col("prefix")]
+    kept = prefixes.orderBy(*order).limit(max(0, size - 256))
+    place = F.row_number().over(Window.orderBy(*order))
+    longer = kept.select(F.encode("prefix", "UTF-8").alias("token"), (place + 255).cast("bigint").alias("rank"))
     return byte_vocabulary(texts.sparkSession).unionByName(longer)
 
 

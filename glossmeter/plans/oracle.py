@@ -6,6 +6,7 @@ engine's own, and text is counted on the joined string.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from glossmeter import dims
@@ -181,7 +182,7 @@ codes AS (SELECT lang || '_' || source AS code, nfc_normalize(text) AS text, doc
 code_text AS (SELECT code, string_agg(text, ' ' ORDER BY doc_id) AS body FROM codes GROUP BY code),
 code_names AS (
   SELECT DISTINCT lang || '_' || source AS code, language || ' ' || source AS language
-  FROM documents JOIN languages USING (lang) WHERE doc_id IN (SELECT doc_id FROM labels)),
+  FROM documents JOIN languages USING (lang)),
 lengths AS (
   SELECT code AS lang, language, t.tokenizer, t.ord, CAST(t.n AS BIGINT) AS n_tokens, CAST(t.u AS BIGINT) AS n_unknown
   FROM (SELECT *, length(body) AS n32, length(regexp_replace(body, '[^\x00-\x7F]', '', 'g')) AS known FROM code_text)
@@ -213,11 +214,11 @@ merged AS (
   SELECT * FROM agg WHERE corpus = 'core' AND counter_id IN ('words', 'utf32') AND lang <> 'es'),
 words_by_weight AS (
   SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\p{L}+')) AS word FROM documents)
-  GROUP BY word ORDER BY n DESC, word LIMIT %(top)s),
+  GROUP BY word),
 prefixes AS (
   SELECT p, sum(n) AS n FROM (SELECT n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i))) AS p
                               FROM words_by_weight) WHERE strlen(p) > 1 GROUP BY p),
-ranked AS (SELECT 255 + row_number() OVER (ORDER BY length(p), n DESC, p) AS rank, hex(encode(p)) AS token_hex FROM prefixes),
+ranked AS (SELECT 255 + row_number() OVER (ORDER BY n DESC, length(p), p) AS rank, hex(encode(p)) AS token_hex FROM prefixes),
 leaf AS (SELECT corpus, lang, sentence_idx, sha256(text) AS d,
                 sha256(CASE WHEN corpus = 'core' THEN text ELSE text || ' ' END) AS before FROM units),
 tree1 AS (SELECT corpus, lang, sentence_idx // 16384 AS k, count(*) AS n,
@@ -229,7 +230,7 @@ tree3 AS (SELECT corpus, lang, sum(n) AS n, sha256(string_agg(d, '' ORDER BY k))
 
 _PRELUDE = "WITH " + _UNITS % {
     "word": _WORD, "simulated": _SIMULATED, "on": W.MEASURED_ON, "raw": _RAW, "agg": _AGG, "fx": f"{dims.USD_TO_VND}::DOUBLE",
-    "top": 500, "languages": _values(W.LANGUAGES.items()), "fills": _values(_FILLS),
+    "languages": _values(W.LANGUAGES.items()), "fills": _values(_FILLS),
     "counters": _values((c.counter_id, c.display, c.spec, c.headline, c.headline_display, c.family_display,
                          c.flagship_group, c.fold_reason, c.ord) for c in W.DIMS.counters),
     "prices": _values((p.counter_id, p.input_usd_per_mtok, p.as_of, p.confidence) for p in W.PRICES),
@@ -420,7 +421,8 @@ _DERIVED = {
                          WHERE headline AND counter_id NOT IN (SELECT counter_id FROM priced_pos)""",
     "tokenization_lengths": "SELECT language, " + ", ".join(
         f"max(n_tokens) FILTER (WHERE tokenizer = '{t}') AS \"{t}\"" for t in W.PARITY_NAMES) + " FROM lengths GROUP BY language",
-    "language_map_join": "SELECT lang, language, tokenizer, n_tokens, n_unknown FROM lengths",
+    "language_map_join": """SELECT lang, language, tokenizer, n_tokens, n_unknown FROM lengths
+                            WHERE lang IN (SELECT d.lang || '_' || source FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels))""",
     "unknown_fraction": f"SELECT language, tokenizer, {_r('CAST(n_unknown AS DOUBLE) / n_tokens', 8)} AS unknown_fraction FROM lengths",
     "unknown_mask": f"SELECT language, tokenizer, coalesce(CAST(cell AS VARCHAR), '{dims.MASK}') AS cell FROM masked",
     "masked_table_read": "SELECT language, " + ", ".join(
@@ -555,4 +557,39 @@ _PLAIN = {
     "bpe_byte_count": "SELECT doc_id, strlen(text) AS n_tokens FROM documents",
 }
 
-ORACLE = {**{name: _PRELUDE + body for name, body in _DERIVED.items()}, **_PLAIN}
+#: Steps that many others look at; computed once in a statement.
+_SHARED = ("units", "joined_counts", "counted", "raw", "agg")
+
+
+def _steps(prelude: str) -> dict[str, str]:
+    """name -> "name AS (...)" of the steps of a WITH clause, in order."""
+    found, at = {}, 0
+    for start in re.finditer(r"(?m)(?:^|, )(\w+)(?:\([\w, ]+\))? AS \(", prelude):
+        if start.start() < at:
+            continue                                        # inside a step
+        depth, i, quoted = 0, prelude.index("(", start.end() - 1), False
+        while depth or i < start.end():
+            c = prelude[i]
+            quoted ^= c == "'"
+            depth += (c == "(") - (c == ")") if not quoted else 0
+            i += 1
+        found[start[1]], at = prelude[start.start():i].lstrip(", \n"), i
+    return found
+
+
+_STEPS = _steps(_PRELUDE.removeprefix("WITH "))
+
+
+def _with_needed(body: str) -> str:
+    """A query with the steps it needs before it, and no others."""
+    needed, text = set(), [body]
+    while text:
+        words = set(re.findall(r"\w+", text.pop()))
+        for name in (words & _STEPS.keys()) - needed:
+            needed.add(name)
+            text.append(_STEPS[name])
+    steps = [s.replace(" AS (", " AS MATERIALIZED (", 1) if n in _SHARED else s for n, s in _STEPS.items() if n in needed]
+    return ("WITH " + ",\n".join(steps) + "\n" if steps else "") + body
+
+
+ORACLE = {**{name: _with_needed(body) for name, body in _DERIVED.items()}, **_PLAIN}

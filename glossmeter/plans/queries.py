@@ -426,7 +426,9 @@ def tokenization_lengths(w: Workload) -> DataFrame:
 
 @query
 def language_map_join(w: Workload) -> DataFrame:
-    return w.lengths.select("lang", "language", "tokenizer", "n_tokens", "n_unknown")
+    """Names of the codes that have a labelled document; codes without a name drop out."""
+    rows = parity.named(w.lengths.drop("language"), w.labelled_map)
+    return rows.select("lang", "language", "tokenizer", "n_tokens", "n_unknown")
 
 
 @query
@@ -671,16 +673,17 @@ def figure_stem_prune(w: Workload) -> DataFrame:
 
 # -- byte-pair vocabularies ----------------------------------------------------------------
 
-VOCABULARY_WORDS = 500
+#: Tokens of the vocabulary that the byte-pair queries use, and the sizes that the sweep takes of it.
+VOCABULARY_SIZE, SWEEP_STEPS = 4096, 20
 
 
 def _vocabulary(w: Workload) -> DataFrame:
-    return bpe.prefix_vocabulary(w.documents.select("text"), VOCABULARY_WORDS)
+    return bpe.prefix_vocabulary(w.documents.select("text"), VOCABULARY_SIZE)
 
 
 @query
 def vocab_slice(w: Workload) -> DataFrame:
-    return bpe.vocabulary_slice(_vocabulary(w), 256, 4096).select("rank", "token_hex")
+    return bpe.vocabulary_slice(_vocabulary(w), 256, VOCABULARY_SIZE).select("rank", "token_hex")
 
 
 @query
@@ -704,10 +707,10 @@ def bpe_joined_count(w: Workload) -> DataFrame:
 
 @query
 def vocab_sweep(w: Workload) -> DataFrame:
-    """Tokens needed at twenty vocabulary sizes, smallest the single bytes."""
-    ranks = bpe.share(w.spark, bpe.collect_ranks(_vocabulary(w)))
-    top = 256 + 20 * 64
-    sizes = [256 + (top - 256) * i / 19 for i in range(20)]
+    """Tokens needed at twenty vocabulary sizes, from the single bytes to the whole vocabulary."""
+    found = bpe.collect_ranks(_vocabulary(w))
+    ranks = bpe.share(w.spark, found)
+    sizes = [256 + (len(found) - 256) * i / (SWEEP_STEPS - 1) for i in range(SWEEP_STEPS)]
     return bpe.tokens_by_size(bpe.piece_counts(w.documents, ["lang"]), ["lang"], ranks, sizes)
 
 

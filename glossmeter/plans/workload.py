@@ -212,8 +212,15 @@ class Workload:
 
     @cached_property
     def language_map(self) -> DataFrame:
+        """A name for every code."""
+        return self._names(self.table("documents"))
+
+    @cached_property
+    def labelled_map(self) -> DataFrame:
         """Names of the codes that have a labelled document."""
-        docs = self.table("documents").join(self.table("labels").select("doc_id"), "doc_id", "left_semi")
+        return self._names(self.table("documents").join(self.table("labels").select("doc_id"), "doc_id", "left_semi"))
+
+    def _names(self, docs: DataFrame) -> DataFrame:
         name = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.col("lang"))
         return docs.select(F.concat_ws("_", "lang", "source").alias("lang"),
                            F.concat_ws(" ", name, "source").alias("language")).distinct()

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glossmeter.functions import text as T
+from glossmeter.stage import small, staged
 
 
 def _present(spark: SparkSession, path: str) -> bool:
@@ -28,20 +29,20 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], keep_terminal: bo
     """(path, line_idx, text) of text files, in the order of the file.
 
     Any newline style ends a line and nothing is filtered, so positions hold. A byte order mark
-    is skipped by the reader. Files are read in splits: lines are numbered inside a split, and
-    a split starts at the number of lines before it, so one file may span many tasks.
+    is skipped by the reader. Files are read in splits; the lines of a split are read one after
+    another, so a line's place in it follows from the ids that Spark gives as it reads, and a split
+    starts at the number of lines before it. Only a row per split is put together: no text moves.
     ``keep_terminal`` adds the empty piece that follows a terminal newline.
     """
     meta = ["_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size"]
     rows = spark.read.text(path).select(
         F.col(meta[0]).alias("path"), F.col(meta[1]).alias("_block"), F.col(meta[2]).alias("_size"),
         F.col("value").alias("text"), F.monotonically_increasing_id().alias("_at"))
-    sizes = rows.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = staged(rows.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")))
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("path", "_block").orderBy("_at")
-    lines = (rows.withColumn("_rn", F.row_number().over(inside) - 1).join(starts, ["path", "_block"])
-             .select("path", (F.col("_rn") + F.col("_start")).cast("bigint").alias("line_idx"), "text"))
+    starts = staged(sizes.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    lines = (rows.join(small(starts), ["path", "_block"])
+             .select("path", (F.col("_at") + F.col("_shift")).cast("bigint").alias("line_idx"), "text"))
     if not keep_terminal:
         return lines
     # A file ends in a newline if it has as many line feeds as lines. Reading by line feed
@@ -50,7 +51,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], keep_terminal: bo
         F.col(meta[0]).alias("path"), F.col(meta[2]).alias("_size"), F.octet_length("value").alias("_b"))
     ended = (fed.groupBy("path", "_size").agg(F.sum("_b").alias("_bytes"), F.count(F.lit(1)).alias("_lines"))
              .where(F.col("_size") - F.col("_bytes") >= F.col("_lines")).select("path"))
-    tail = (lines.groupBy("path").agg((F.max("line_idx") + 1).alias("line_idx"))
+    tail = (sizes.groupBy("path").agg(F.sum("_n").alias("line_idx"))
             .join(ended, "path", "left_semi").withColumn("text", F.lit("")))
     return lines.unionByName(tail)
 
@@ -100,6 +101,8 @@ def load_corpora(spark: SparkSession, places: Mapping[str, tuple[str, str]], cor
     declared, placed = set(corpora), set(places)
     if declared - placed:
         raise KeyError(f"corpora without a place: {sorted(declared - placed)} (known: {sorted(placed)})")
+    if placed - declared:
+        raise KeyError(f"places of corpora that are not configured: {sorted(placed - declared)} (known: {sorted(declared)})")
     parts = [LAYOUTS[places[c][0]](spark, places[c][1], c, list(languages)) for c in corpora]
     return reduce(DataFrame.unionByName, parts)
 

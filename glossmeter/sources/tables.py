@@ -33,7 +33,7 @@ def keyed_units(table: DataFrame, corpus: Column, lang: Column, key: str, text:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Give units, or counts of units, their sentence_idx."""
-    return number_rows(rows, ["corpus", "lang"], "unit_key", "sentence_idx")
+    return number_rows(rows, ["corpus", "lang"], "unit_key", "sentence_idx", levels=2)
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -74,9 +74,10 @@ def write_result(rows: DataFrame, path: str, fmt: str = "csv") -> None:
 def write_partitioned(rows: DataFrame, path: str) -> None:
     """Facts at scale: Parquet, partitioned by the columns later passes select on.
 
-    With dynamic overwrite a pass replaces only the corpora and counters it wrote.
+    With dynamic overwrite a pass replaces only the corpora and counters it wrote. Rows are dealt
+    by range, so a language with most rows is several tasks.
     """
-    (rows.repartition("corpus", "counter_id", "lang").write.mode("overwrite")
+    (rows.repartitionByRange(*[k for k in SORT_KEYS if k in rows.columns]).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "counter_id").parquet(path))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 _local: dict[str, tempfile.TemporaryDirectory] = {}
@@ -38,11 +38,24 @@ def staged(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+#: Setting of the session: partitions that an input of a single small file is dealt to.
+SPREAD = "glossmeter.spread"
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that has fewer splits than there are cores.
+    """Deal rows to as many partitions as the session asks for in ``glossmeter.spread``.
 
-    Text work is bound by the processor, and a small file is one split. An input with enough
-    splits, as any large one, is left where it is: no shuffle.
+    Off unless it is set. It is for inputs whose one file is one split, as in a local session;
+    it moves the texts, so a large table, which has splits enough, is read without it.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    parts = rows.sparkSession.conf.get(SPREAD, None)
+    return rows.repartition(int(parts), key) if parts else rows
+
+
+#: Rows of a small table that a join may broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a written table for broadcast if it has at most ``most`` rows; else Spark joins by a shuffle."""
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

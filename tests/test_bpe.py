@@ -29,7 +29,7 @@ def _encode(text, ranks):
 @pytest.fixture(scope="module")
 def vocabulary(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS * 3 + ["the the cat catalogue", "abab abba"]], "text string")
-    return bpe.prefix_vocabulary(docs, 20).cache()
+    return bpe.prefix_vocabulary(docs, 400).cache()
 
 
 @pytest.fixture(scope="module")
