@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glossmeter import dims
 from glossmeter.counters import TextCounter
+from glossmeter.functions import frames
 from glossmeter.functions.text import sql_text
 
 RAW_KEYS = ["corpus", "counter_id", "lang", "sentence_idx"]
@@ -110,15 +111,7 @@ def alignment(units: DataFrame) -> DataFrame:
 
 def envelope_floors(probes: DataFrame, group: Sequence[str]) -> DataFrame:
     """Frame per endpoint from rows (group, probe, n_tokens): floor, agreement and verdict."""
-    frames = probes.withColumn("_frame", F.col("n_tokens") - dims.ENVELOPE_PROBE_TOKENS)
-    lows = frames.groupBy(*group).agg(F.min("_frame").alias("envelope_tokens"),
-                                      F.count(F.lit(1)).alias("n_probes"))
-    agree = (frames.join(lows, list(group)).groupBy(*group, "envelope_tokens", "n_probes")
-             .agg(F.count_if(F.col("_frame") == F.col("envelope_tokens")).alias("n_agreeing")))
-    verdict = (F.when(F.col("n_agreeing") < dims.ENVELOPE_MIN_AGREEING, "ambiguous")
-               .when(~F.col("envelope_tokens").between(0, dims.ENVELOPE_MAX_PLAUSIBLE), "implausible")
-               .otherwise("ok"))
-    return agree.withColumn("verdict", verdict)
+    return frames.settle_rows(probes, group)
 
 
 def carried_envelopes(raw: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmeter import dims as D
-from glossmeter.counters import joined_text
+from glossmeter.counters import api_counter, joined_text
 from glossmeter.functions import text as T
+from glossmeter.functions.frames import settle
 from glossmeter.operators import fingerprint, measure, parity, slices
 from glossmeter.plans import lifecycle as L
 from glossmeter.sources import lines, tables
@@ -149,14 +150,26 @@ def test_envelope_floor_rules(spark):
     df = spark.createDataFrame([(k, p, n) for k, v in cases.items() for p, n in v], "k string, probe string, n_tokens bigint")
     got = {r.k: (r.envelope_tokens, r.verdict) for r in measure.envelope_floors(df, ["k"]).collect()}
     assert got == {"plain": (6, "ok"), "digits": (7, "ok"), "upper": (6, "ok"), "ambiguous": (6, "ambiguous"), "absurd": (65, "implausible")}
-    from glossmeter.counters import floor_frame, probe_frames
     for k, v in cases.items():
-        found = probe_frames(dict(v).__getitem__)
-        if got[k][1] == "ok":
-            assert floor_frame(found) == got[k][0]
-        else:
-            with pytest.raises(RuntimeError):
-                floor_frame(found)
+        one = settle({p: n - D.ENVELOPE_PROBE_TOKENS for p, n in v})
+        assert (one.tokens, one.verdict) == got[k]
+
+
+def test_frame_of_an_endpoint(spark):
+    calls = []
+
+    def client():
+        def count(text):
+            calls.append(text)
+            return len(text) + 8
+        return count
+
+    counter = api_counter("beta", "b", client)
+    assert counter.frame == 8 and calls == list(D.ENVELOPE_PROBES)           # one call a probe
+    texts = spark.createDataFrame([("abc",), (None,)], "text string")
+    assert [r[0] for r in texts.select(counter.content(F.col("text"))).collect()] == [3, None]
+    with pytest.raises(RuntimeError, match="implausible"):
+        api_counter("beta", "b", lambda: lambda text: len(text) + 65)
 
 
 def test_slice_keeps_last_clean_duplicate_in_every_locale(spark):
