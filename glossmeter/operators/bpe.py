@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 
 from glossmeter.counters import TextCounter, order_key
 from glossmeter.operators.indexing import number_rows
+from glossmeter.stage import small, staged
 
 # Fixed value: the split pattern of the gpt2 / r50k / p50k encodings.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,21 +211,20 @@ def joined_pieces(units: DataFrame, pattern: str = SPLIT_PATTERN) -> DataFrame:
     lead = F.substr("text", F.lit(1), F.char_length("text") - F.char_length("_right"))
     tail = F.substr("text", F.char_length("_left") + 1, F.char_length("text"))
     cut = cut.select(*keys, order, lead.alias("_lead"), tail.alias("_tail"), F.rtrim("_right", spaces).alias("_core"))
-    # one row per corpus and language, so the text stays where it is
-    firsts = F.broadcast(units.groupBy(*keys).agg(F.min(order).alias("_first")))
+    # one row per corpus and language: small, so the text stays where it is
+    spans = small(staged(units.groupBy(*keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_end"))))
     joiner = F.when(F.col(order) == F.col("_first"), "").otherwise(" ")
-    main = (cut.join(firsts, keys)
+    main = (cut.join(spans, keys)
             .select(*keys, F.concat(F.when(F.col("_lead") != "", F.right("_lead", F.lit(1))).otherwise(joiner),
                                     F.col("_core")).alias("text")))
 
     narrow = cut.select(*keys, order, "_lead", "_tail")
     if order != "sentence_idx":
-        narrow = number_rows(narrow, keys, order, "sentence_idx")
+        narrow = number_rows(narrow, keys, order, "sentence_idx", levels=2)
     at = F.col("sentence_idx")
     leads = narrow.where(F.col("_lead") != "").select(*keys, "sentence_idx", "_lead")
     tails = narrow.where(F.col("_tail") != "").select(*keys, (at + 1).alias("sentence_idx"), "_tail")
-    ends = F.broadcast(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_end")))
-    runs = leads.join(tails, [*keys, "sentence_idx"], "full").join(ends, keys)
+    runs = leads.join(tails, [*keys, "sentence_idx"], "full").join(spans, keys)
     before, after = F.coalesce("_tail", F.lit("")), F.coalesce("_lead", F.lit(""))
     joined = F.concat(before, F.when(at > 0, " ").otherwise(""), after)
     rest = F.when(at == F.col("_end"), before).otherwise(F.substr(joined, F.lit(1), F.char_length(joined) - 1))
@@ -285,6 +285,10 @@ class _Aligner:
         alone = [encoder.decode([t]) for t in range(encoder.n_vocab)]
         self.texts = pa.array(alone, pa.string())
         self.whole = np.array([bool(t) and t != INCOMPLETE for t in alone])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start a batch: nothing put together in earlier ones is kept."""
         self.known: dict[bytes, int] = {}       # codes of put-together groups, by their tokens
         self.extra: list[str] = []
 
@@ -325,8 +329,15 @@ class _Aligner:
             kept[start + 1:start + n] = False
         return ids, size[kept], code[kept]
 
-    def all_texts(self) -> pa.Array:
-        return pa.concat_arrays([self.texts, pa.array(self.extra, pa.string())])
+    def texts_of(self, codes: np.ndarray) -> pa.Array:
+        """Texts of groups; those that were put together stand behind the vocabulary's."""
+        alone = codes < len(self.texts)
+        if alone.all():
+            return self.texts.take(pa.array(codes))
+        used = np.unique(codes[alone])
+        known = pa.concat_arrays([self.texts.take(pa.array(used)), pa.array(self.extra, pa.string())])
+        place = np.where(alone, np.searchsorted(used, codes), codes - len(self.texts) + len(used))
+        return known.take(pa.array(place))
 
 
 def _offsets(sizes) -> pa.Array:
@@ -339,11 +350,12 @@ def align_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Colum
     def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = _Aligner(_encoding(ranks, pattern))
         for batch in batches:
+            aligner.forget()
             parts = [aligner.groups(s or "") for s in batch.to_pylist()]
             none = np.zeros(0, dtype=np.int64)
             ids, sizes, codes = (np.concatenate([p[k] for p in parts] or [none]) for k in range(3))
             tokens = pa.ListArray.from_arrays(_offsets(sizes), pa.array(ids))
-            texts = aligner.all_texts().take(pa.array(codes))
+            texts = aligner.texts_of(codes)
             groups = pa.StructArray.from_arrays([tokens, texts], ["tokens", "text"])
             yield pa.ListArray.from_arrays(_offsets([len(p[1]) for p in parts]), groups)
     return aligned

@@ -85,19 +85,19 @@ def corpus_size(w: Workload) -> DataFrame:
 
 @query
 def corpus_fingerprint(w: Workload) -> DataFrame:
-    return _fingerprints(w, F.col("text"))
-
-
-def _fingerprints(w: Workload, text) -> DataFrame:
-    leaves = tables.numbered(w.units.select("corpus", "lang", "unit_key", F.sha2(text, 256).alias("digest")))
+    leaves = tables.numbered(w.units.select("corpus", "lang", "unit_key", F.sha2("text", 256).alias("digest")))
     return fingerprint.corpus_fingerprints(leaves, list(DIMS.languages))
 
 
 @query
 def fingerprint_gate(w: Workload) -> DataFrame:
     # the recorded version of one register had another ending
-    before = _fingerprints(w, F.when(F.col("corpus") == "core", F.col("text")).otherwise(F.concat("text", F.lit(" "))))
-    now = _fingerprints(w, F.col("text"))
+    earlier = F.when(F.col("corpus") == "core", F.col("text")).otherwise(F.concat("text", F.lit(" ")))
+    # one scan of the texts for both versions
+    leaves = staged(tables.numbered(w.units.select("corpus", "lang", "unit_key", F.sha2("text", 256).alias("digest"),
+                                                   F.sha2(earlier, 256).alias("earlier"))))
+    now, before = (staged(fingerprint.corpus_fingerprints(leaves.withColumn("digest", F.col(c)), list(DIMS.languages)))
+                   for c in ("digest", "earlier"))
     changed = carry.changed_corpora(before, now).select("corpus")
     return now.select("corpus").join(changed.withColumn("changed", F.lit(True)), "corpus", "left") \
         .select("corpus", F.coalesce("changed", F.lit(False)).alias("changed"))
