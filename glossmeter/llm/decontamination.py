@@ -119,8 +119,8 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radi
     shingle = found.select("doc_id", "_text", "n", F.posexplode(F.arrays_zip("h", "w")).alias("at", "s")) \
         .select("doc_id", "_text", "n", "at", F.col("s.h").alias("hash"), F.col("s.w").alias("weight"))
     same_doc = F.col("p._text").eqNullSafe(F.col("f._text")) & F.col("p.doc_id").eqNullSafe(F.col("f.doc_id"))
-    hits = (shingle.alias("f").join(pairs.alias("p"), same_doc)
-            .join(shingles.select("item_id", "size", "hash", "total").alias("i"),
+    hits = (shingle.alias("f").join(checked_broadcast(pairs).alias("p"), same_doc)
+            .join(checked_broadcast(shingles.select("item_id", "size", "hash", "total")).alias("i"),
                   (F.col("p.item_id") == F.col("i.item_id")) & (F.col("p.size") == F.col("i.size")) & (F.col("f.hash") == F.col("i.hash")))
             .select("f.doc_id", "f._text", "f.n", "f.at", "f.weight", "p.item_id", "p.size", "i.total"))
     low = F.greatest(F.col("at") - F.col("size") + WIDTH, F.lit(0))
@@ -131,11 +131,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radi
         .where(100 * F.col("_met") >= percent * F.col("total")).drop("_met"))
     # their fingerprints and the items'
     name = ["doc_id", "_text", "item_id", "size", "start"]
-    inside = (windows.alias("p").join(found.alias("f"), same_doc)
-              .select("p.doc_id", "p._text", "p.item_id", "p.size", "p.start",
-                      F.slice(F.arrays_zip("f.h", "f.w"), F.col("p.start") + 1, F.col("p.size") - WIDTH + 1).alias("s"))
-              .select(*name, F.explode("s").alias("s")).select(*name, F.col("s.h").alias("hash"), F.col("s.w").alias("weight")))
-    prints = fingerprints(inside, name)
+    inside = staged(checked_broadcast(windows).alias("p").join(found.alias("f"), same_doc)
+                    .select("p.doc_id", "p._text", "p.item_id", "p.size", "p.start", "p.total",
+                            F.slice(F.arrays_zip("f.h", "f.w"), F.col("p.start") + 1, F.col("p.size") - WIDTH + 1).alias("s")))
+    prints = fingerprints(inside.select(*name, F.explode("s").alias("s")).select(*name, F.col("s.h").alias("hash"), F.col("s.w").alias("weight")), name)
     known = fingerprints(shingles.select("item_id", "size", "hash", (F.col("weight") * F.col("times")).alias("weight")), ["item_id", "size"])
     indexed = prints.select(*name, "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select(*name, "print", "b.*")
     index = known.select("item_id", "size", F.col("print").alias("_item"), F.explode(blocks(F.col("print"), radius)).alias("b")) \
@@ -143,21 +142,21 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radi
     near = staged(indexed.join(index, ["item_id", "size", "block", "bits"])
                   .select(*name, F.bit_count(F.col("print").bitwiseXOR(F.col("_item"))).alias("distance"))
                   .where(F.col("distance") <= radius).distinct())
-    # the exact similarity of the survivors
-    again = (inside.alias("a").join(near.alias("n"), [F.col(f"a.{c}").eqNullSafe(F.col(f"n.{c}")) for c in name], "left_semi")
-             .groupBy(*name, "hash", "weight").agg(F.count("*").alias("here")))
-    of_item = shingles.select("item_id", "size", "hash", "times")
-    totals = shingles.select("item_id", "size", "total").distinct()
-    scored = (again.join(of_item, ["item_id", "size", "hash"], "left").groupBy(*name)
+    # the exact similarity of the survivors; their shingles are dealt once, before they are unfolded
+    window = [*name, "total", "distance"]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"n.{c}")) for c in name]
+    met = (inside.alias("a").join(checked_broadcast(near).alias("n"), same).select("a.*", "n.distance").repartition(*name)
+           .select(*window, F.explode("s").alias("s")).select(*window, F.col("s.h").alias("hash"), F.col("s.w").alias("weight"))
+           .groupBy(*window, "hash", "weight").agg(F.count("*").alias("here")))
+    of_item = checked_broadcast(shingles.select("item_id", "size", "hash", "times"))
+    scored = (met.join(of_item, ["item_id", "size", "hash"], "left").groupBy(*window)
               .agg(F.sum(F.col("weight") * F.least("here", F.coalesce("times", F.lit(0)))).alias("_both"),
                    F.sum(F.col("weight") * F.col("here")).alias("_window"))
-              .join(totals, ["item_id", "size"])
               .withColumn("_union", F.col("_window") + F.col("total") - F.col("_both"))
-              .where(100 * F.col("_both") >= percent * F.col("_union")))
-    best = (scored.alias("s").join(near.alias("n"), [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in name])
-            .groupBy("s.doc_id", "s._text", "s.item_id")
-            .agg(F.max_by(F.struct("s.start", "s.size", "n.distance", (F.col("_both") / F.col("_union")).alias("similarity")),
-                          F.struct(F.col("_both") / F.col("_union"), -F.col("s.start"), F.col("s.size"))).alias("b")))
+              .where(100 * F.col("_both") >= percent * F.col("_union"))
+              .withColumn("similarity", F.col("_both") / F.col("_union")))
+    best = scored.groupBy("doc_id", "_text", "item_id").agg(
+        F.max_by(F.struct("start", "size", "distance", "similarity"), F.struct("similarity", -F.col("start"), F.col("size"))).alias("b"))
     return best.select("doc_id", F.col("_text").alias("text_hash"), "item_id", F.col("b.start").cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"),
                        F.col("b.distance").cast("long").alias("distance"), F.col("b.similarity").alias("similarity"))
 
