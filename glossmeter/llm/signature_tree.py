@@ -283,15 +283,19 @@ def leader_links(members: DataFrame, percent: int) -> DataFrame:
     return over_batches(pairs, work, "sid long, tree long")
 
 
-def other_links(members: DataFrame, close: DataFrame, percent: int) -> DataFrame:
-    """Links of members that are not linked with their tree's smallest set: (a, b)."""
+def other_links(members: DataFrame, close: DataFrame, percent: int, compare=block_links, block: int | None = None) -> DataFrame:
+    """Links of members that are not linked with their tree's smallest set: (a, b).
+
+    compare: finds the links between two blocks of members, or inside one. block: members of one.
+    """
+    block = block or BLOCK
     marked = members.select("sid", "tree", F.octet_length("tokens").alias("bytes")).join(
         close.select("sid", F.lit(True).alias("close")), "sid", "left").withColumn("core", (F.col("sid") == F.col("tree")) | F.coalesce("close", F.lit(False)))
     counts = marked.groupBy("tree").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("rest")).where("rest > 0 and n > 2")
     # blocks: by kind, by size so that only the same and the next one can link, and by hash
     size = F.floor(F.log(F.col("bytes") / 8) / F.lit(math.log(100 / percent))).cast("int")
     inside = marked.join(counts.select("tree", "n"), "tree").withColumn("size", size)
-    per = inside.groupBy("tree", "core", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cut"))
+    per = inside.groupBy("tree", "core", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"))
     placed = staged(inside.join(per, ["tree", "core", "size"]).select(
         "sid", "tree", "core", "size", "n", F.pmod(F.xxhash64("sid"), "cut").cast("int").alias("part")).distinct())
     blocks = staged(placed.select("tree", "core", "size", "part", "n").distinct())
@@ -301,7 +305,7 @@ def other_links(members: DataFrame, close: DataFrame, percent: int) -> DataFrame
                    & ~(F.col("x.core") & F.col("y.core")) & (order("x") <= order("y")))
     # a small tree is compared in one piece of work with other small trees; a large one pair by pair
     pair = F.xxhash64("x.tree", "x.core", "x.size", "x.part", "y.core", "y.size", "y.part")
-    work_at = F.when(F.col("x.n") <= BLOCK, F.pmod("x.tree", F.lit(1009))).otherwise(pair)
+    work_at = F.when(F.col("x.n") <= block, F.pmod("x.tree", F.lit(1009))).otherwise(pair)
     pairs = staged(pairs.select(F.col("x.tree").alias("tree"), pair.alias("pair"), work_at.alias("work"),
                                 F.array(*[F.struct(F.col(f"{s}.core").alias("core"), F.col(f"{s}.size").alias("size"), F.col(f"{s}.part").alias("part"),
                                                    F.lit(s == "y").alias("right")) for s in "xy"]).alias("sides"))
@@ -316,7 +320,7 @@ def other_links(members: DataFrame, close: DataFrame, percent: int) -> DataFrame
             for right, sid, tokens in zip(group["right"], group["sid"], group["tokens"]):
                 sides[right][sid] = np.frombuffer(tokens, np.uint64)
             same = sides[0].keys() == sides[1].keys()
-            links += block_links(sides[0], None if same else sides[1], percent)
+            links += compare(sides[0], None if same else sides[1], percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("work").applyInPandas(work, "a long, b long")
