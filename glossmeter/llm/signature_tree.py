@@ -349,12 +349,12 @@ def join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Documents without those that are linked, directly or by others, with one of a smaller id. Columns stay.
 
     Rows that repeat an id and its text become one. Rows without an id stay.
     """
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, width, percent)
     gone = staged(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).where("n > 1").select("_twice"))
