@@ -89,10 +89,12 @@ def part_keys(tokens: np.ndarray, percent: int = PERCENT, spare: int = SPARE) ->
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, sid, n_shingles, keys): keys packed, once for each set that a batch step meets."""
+def sets(docs: DataFrame, width: int, percent: int, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, sid, n_shingles, keys): keys packed, once for each set that a batch step meets. Kept: longs."""
+    named = ["doc_id", *keep]
+
     def work(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(len(named)).to_pylist()
         for a, b in steps(texts):
             sids, sizes, keys, seen = [], [], [], set()
             for text in texts[a:b]:
@@ -102,10 +104,10 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes.append(len(tokens))
                 keys.append(part_keys(tokens, percent).tobytes() if sid is not None and sid not in seen else None)
                 seen.add(sid)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.binary())], names=["doc_id", "sid", "n_shingles", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(named))), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
+                                              pa.array(keys, pa.binary())], names=[*named, "sid", "n_shingles", "keys"])
 
-    return over_batches(as_bytes(docs, "doc_id"), work, "doc_id long, sid long, n_shingles long, keys binary")
+    return over_batches(as_bytes(docs, *named), work, f"{' long, '.join(named)} long, sid long, n_shingles long, keys binary")
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
@@ -328,15 +330,7 @@ def other_links(members: DataFrame, close: DataFrame, percent: int, compare=bloc
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
-    docs = docs.select("doc_id", "text")
-    found = staged(sets(docs, width, percent))
-    trees = staged(components(shared_keys(found)))
-    chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-              .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
-    members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
-    close = staged(leader_links(members, percent))
-    links = close.select(F.col("sid").alias("a"), F.col("tree").alias("b")).unionByName(other_links(members, close, percent))
-    joined = staged(components(links).select(F.col("node").alias("sid"), F.col("component").alias("_group")))
+    found, joined = groups_of(docs.select("doc_id", "text"), width, percent)
     named = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
              .join(joined, "sid", "left").withColumn("_group", F.coalesce("_group", "sid")))
     names = named.groupBy("_group").agg(F.min("least").alias("component_id"))
@@ -345,22 +339,41 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def groups_of(docs: DataFrame, width: int, percent: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (sid, _group) of those that are linked."""
+    found = staged(sets(docs, width, percent, *keep))
+    trees = staged(components(shared_keys(found)))
+    chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+              .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
+    members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
+    close = staged(leader_links(members, percent))
+    links = close.select(F.col("sid").alias("a"), F.col("tree").alias("b")).unionByName(other_links(members, close, percent))
+    return found, staged(components(links).select(F.col("node").alias("sid"), F.col("component").alias("_group")))
+
+
 def join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Documents without those that are linked, directly or by others, with one of a smaller id. Columns stay.
+    """Of each group of linked documents, the row of the smallest (id, hash of the text). Columns stay.
 
-    Rows that repeat an id and its text become one. Rows without an id stay.
+    Rows without an id are not weighed against those with one; of each group of them, one row stays. Rows that
+    repeat an id, or its absence, and the text become one.
     """
-    found = jaccard_components(docs, width, percent)
-    gone = staged(found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).where("n > 1").select("_twice"))
-    again = F.col("doc_id") == F.col("_twice")
-    once = left.join(checked_broadcast(twice), again, "left_anti")
-    several = left.join(checked_broadcast(twice), again, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    found, joined = groups_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), width, percent, "text_hash")
+    rows = found.select("doc_id", "text_hash", "sid").join(joined, "sid", "left").withColumn("_group", F.coalesce("_group", "sid"))
+    no_id = F.col("doc_id").isNull().alias("_no_id")
+    first = rows.where("_group is not null").groupBy("_group", no_id).agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
+    gone = staged(rows.withColumn("_no_id", no_id).join(first, ["_group", "_no_id"])
+                  .where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("_first")))
+                  .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    left = docs.join(checked_broadcast(gone), same, "left_anti")
+    twice = staged(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n"))
+                   .where("n > 1").select("_id", "_hash"))
+    once = left.join(checked_broadcast(twice), same, "left_anti")
+    several = left.join(checked_broadcast(twice), same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return once.unionByName(several)
 
 

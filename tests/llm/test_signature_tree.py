@@ -107,3 +107,10 @@ def test_components(spark):
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == components_of(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (None, c + " end"), (None, b)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("1", "a"), ("5", "b"), ("None", "b"), ("None", "c")]
