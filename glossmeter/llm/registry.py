@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import decontamination, packing, paragraphs, repetition, sharding, signature_tree, suffix_tree, token_counts, toxicity, url_lists
+from glossmeter.llm import (decontamination, packing, paragraphs, pieces, repetition, sharding, signature_tree, suffix_tree,
+                            token_counts, toxicity, url_lists)
 
 QUERIES = {
     "op1_suffix_tree_scores": suffix_tree.score_documents,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_quality_repetition": repetition.quality_documents,
     "op9_histogram_sort": sharding.shard_documents,
     "op10_signature_tree_join": signature_tree.join_documents,
+    "op12_backtracking_pieces": pieces.encode_documents,
 }
 
 ORACLE = {
