@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import (decontamination, packing, paragraphs, pieces, repetition, sharding, signature_tree, suffix_tree,
-                            token_counts, toxicity, url_lists)
+from glossmeter.llm import (decontamination, packing, paragraphs, pieces, repetition, sharding, signature_tree, spelling,
+                            suffix_tree, token_counts, toxicity, url_lists)
 
 QUERIES = {
     "op1_suffix_tree_scores": suffix_tree.score_documents,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_histogram_sort": sharding.shard_documents,
     "op10_signature_tree_join": signature_tree.join_documents,
     "op12_backtracking_pieces": pieces.encode_documents,
+    "op13_reduced_alphabet_spelling": spelling.group_documents,
 }
 
 ORACLE = {
