@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmeter.llm import (decontamination, packing, paragraphs, pieces, repetition, sharding, signature_tree, spelling,
+from glossmeter.llm import (conversations, decontamination, packing, paragraphs, pieces, repetition, sharding, signature_tree, spelling,
                             suffix_tree, token_counts, toxicity, url_lists)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_repetition": repetition.quality_documents,
     "op9_histogram_sort": sharding.shard_documents,
     "op10_signature_tree_join": signature_tree.join_documents,
+    "op11_grammar_repair": conversations.repair_documents,
     "op12_backtracking_pieces": pieces.encode_documents,
     "op13_reduced_alphabet_spelling": spelling.group_documents,
 }
