@@ -35,8 +35,23 @@ class Hashes(dict):
 _HASHES = Hashes()
 _MOST_HASHES = 500_000
 
+#: What a worker remembers from batch to batch, by who remembers it: how to forget it.
+_MEMORIES: dict[str, Callable[[], object]] = {"hashes": _HASHES.clear}
+_remembering = "hashes"
+
+
+def remembers(name: str, forget: Callable[[], object]) -> None:
+    """Say that an operator is at work in this worker; what others remember is forgotten, as their stage is over."""
+    global _remembering
+    if name != _remembering:
+        for other in _MEMORIES.values():
+            other()
+        pa.default_memory_pool().release_unused()
+        _MEMORIES[name], _remembering = forget, name
+
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    remembers("hashes", _HASHES.clear)
     if len(_HASHES) > _MOST_HASHES:
         _HASHES.clear()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
@@ -99,6 +114,14 @@ def checked_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with so many more underscores before it that the frame has no such column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def null_safe_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

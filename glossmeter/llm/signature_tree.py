@@ -1,12 +1,14 @@
 """Jaccard join of shingle sets by signature trees.
 
 Documents are reduced to their sets of three-word shingles; equal sets are one. The trees' upper levels
-are found without comparing anything: sets of similar size are cut into parts of the token space, more
-parts than linked sets can differ in tokens, so linked sets agree in a whole part that has tokens
-(pigeonhole); sets that agree in a part belong to one tree. No link can run between trees. Inside a tree,
-nodes hold the OR of their members' token bitmaps and the range of their sizes, and a dual traversal
-prunes pairs of nodes by the largest overlap that these allow, and pairs that are connected already.
-What is left is compared exactly.
+are found without comparing anything: sets of similar size are cut into parts of the token space, by a
+number of spare parts more than linked sets can differ in tokens. So linked sets agree in more than the spare
+parts (pigeonhole), and each set may pass over as many of its parts as are spare: the ones that most sets
+have, so that a formula in many texts brings nothing together. The least common part in which two linked sets
+agree is passed over by neither. Sets that agree in a part that is left belong to one tree; no link can run
+between trees. Inside a tree, nodes hold the OR of their members' token bitmaps and the range of their
+sizes, and a dual traversal prunes pairs of nodes by the largest overlap that these allow, and pairs that
+are connected already. What is left is compared exactly.
 
 A tree may hold a third of all documents. So each member is first compared with the tree's smallest one;
 members linked to it are connected and need no comparison among themselves. The others, and what they
@@ -29,16 +31,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossmeter.llm.common import as_bytes, checked_broadcast, components, documents, mix, over_batches, shingle_hashes, steps, word_hashes
+from glossmeter.llm.common import as_bytes, checked_broadcast, components, documents, free_name, mix, over_batches, shingle_hashes, steps, word_hashes
 from glossmeter.stage import staged
 
 WIDTH = 3
 #: Sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Parts beyond those that linked sets need to agree in one; so many empty parts may be passed over.
-SPARE = 3
+#: Parts beyond those that linked sets need to agree in one: so many, and this share of the tokens they may differ in.
+SPARE, SPARE_SHARE = 4, 4
 #: Members of a block, of a node, and the children of an inner node; bits of a bitmap.
 BLOCK, LEAF, FAN, BITS = 512, 16, 4, 2048
+#: Bytes of tokens of a block, and of the small trees that one piece of work takes.
+BLOCK_BYTES, WORK_BYTES = 8 << 20, 8 << 20
+#: From so many sets on, keys count as equally common; and the place of empty parts, which are passed over first.
+COMMON, EMPTY = 4096, 1 << 20
+#: Sets whose keys are handed on at once.
+STEP_SETS = 2048
 
 
 # -- sets and the parts they are cut into --------------------------------------------------------
@@ -69,30 +77,43 @@ def size_classes(n: int, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def part_keys(tokens: np.ndarray, percent: int = PERCENT, spare: int = SPARE) -> np.ndarray:
-    """Keys of which linked, unequal sets share at least one."""
-    out, high, mixed = [], tokens >> np.uint64(32), mix(tokens)
+def part_keys(tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of a set, a size class in the lowest byte of each; and for each key how many of its class may be passed over.
+
+    Linked, unequal sets share more keys of a class than either may pass over. A part without tokens is no key and
+    uses up one that may be passed over; where there are more such parts than spare ones, they are keys like
+    others, marked by a negative number, and only they may be passed over.
+    """
+    out, may, high, mixed = [], [], tokens >> np.uint64(32), mix(tokens)
     for c, most in size_classes(len(tokens), percent):
         # linked sets of at most `most` tokens differ in at most this many
         apart = 2 * most * (100 - percent) // (100 + percent)
         if apart == 0:
             continue
+        spare = SPARE + apart // SPARE_SHARE
         k = apart + 1 + spare
         part = (high * np.uint64(k)) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(part, prepend=~part[:1]))
         sums, name = np.add.reduceat(mixed, starts), part[starts]
-        if k - len(starts) > spare:                # too many empty parts: they are keys like others
-            filled = np.zeros(k, np.uint64)
-            filled[name] = sums
+        empty = k - len(starts)
+        drop = np.full(len(starts), spare - empty)
+        if empty > spare:
+            filled, drop = np.zeros(k, np.uint64), np.full(k, -spare)
+            filled[name], drop[name] = sums, 0
             sums, name = filled, np.arange(k, dtype=np.uint64)
-        out.append(mix(sums + mix(name + np.uint64(c << 32))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append(mix(sums + mix(name + np.uint64(c << 32))) & ~np.uint64(255) | np.uint64(c))
+        may.append(drop)
+    return (np.concatenate(out), np.concatenate(may)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def sets(docs: DataFrame, width: int, percent: int, *keep: str) -> DataFrame:
-    """(doc_id, kept columns, sid, n_shingles, keys): keys packed, once for each set that a batch step meets. Kept: longs."""
+    """(doc_id, kept columns, sid, n_shingles, keys): keys packed, with their numbers, once for each set that a batch step meets. Kept: longs."""
     named = ["doc_id", *keep]
 
+    def packed(tokens: np.ndarray) -> bytes:
+        keys, may = part_keys(tokens, percent)
+        return keys.tobytes() + may.astype(np.int32).tobytes()
+
     def work(batch: pa.RecordBatch):
         texts = batch.column(len(named)).to_pylist()
         for a, b in steps(texts):
@@ -102,7 +123,7 @@ def sets(docs: DataFrame, width: int, percent: int, *keep: str) -> DataFrame:
                 sid = set_id(tokens)
                 sids.append(sid)
                 sizes.append(len(tokens))
-                keys.append(part_keys(tokens, percent).tobytes() if sid is not None and sid not in seen else None)
+                keys.append(packed(tokens) if sid is not None and sid not in seen else None)
                 seen.add(sid)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(named))), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
                                               pa.array(keys, pa.binary())], names=[*named, "sid", "n_shingles", "keys"])
@@ -110,6 +131,105 @@ def sets(docs: DataFrame, width: int, percent: int, *keep: str) -> DataFrame:
     return over_batches(as_bytes(docs, *named), work, f"{' long, '.join(named)} long, sid long, n_shingles long, keys binary")
 
 
+def telling_keys(found: DataFrame) -> DataFrame:
+    """(key, sid): keys that several sets share, without those that each set may pass over.
+
+    How common a key is, is counted while the rows stream past in order of their keys, up to COMMON. Keys
+    whose sets are all equal go at once, and they are nearly all.
+    """
+    def rows_of(batch: pa.RecordBatch):
+        packed = [(s, np.frombuffer(k, np.uint64, len(k) // 12), np.frombuffer(k, np.int32, -1, len(k) // 12 * 8))
+                  for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if k]
+        for a in range(0, len(packed), STEP_SETS):
+            part = packed[a:a + STEP_SETS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([k for _, k, _ in part]).view(np.int64)), pa.array(np.repeat(np.array([s for s, *_ in part], np.int64), [len(k) for _, k, _ in part])),
+                 pa.array(np.concatenate([m for *_, m in part]))], names=["key", "sid", "may"])
+
+    def counted(batches):
+        held: list[np.ndarray] = []                    # rows of the last key, until it is known how many there are
+        size, flushed = 0, False
+
+        def out_of(key, sid, may, common):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid), pa.array(may.astype(np.int32)),
+                                               pa.array(np.where(may < 0, EMPTY, common).astype(np.int32))], names=["key", "sid", "may", "common"])
+
+        def close():
+            rows = np.concatenate(held, 1)
+            return out_of(*rows, np.full(rows.shape[1], min(size, COMMON)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+            if held:
+                new[0] = (rows[:2, 0] != held[-1][:2, -1]).any()
+            rows = rows[:, new]
+            if not rows.shape[1]:
+                continue
+            edge = np.flatnonzero(np.diff(rows[0])) + 1
+            start = 0
+            if held and rows[0, 0] == held[-1][0, -1]:     # the last key goes on
+                start = int(edge[0]) if len(edge) else rows.shape[1]
+                size += start
+                if size >= COMMON:                         # common enough: its rows need not be held
+                    if not flushed:
+                        yield close()
+                    yield out_of(*rows[:, :start], np.full(start, COMMON))
+                    held, flushed = [rows[:, start - 1:start]], True
+                else:
+                    held.append(rows[:, :start])
+            if start == rows.shape[1]:
+                continue
+            if held and size > 1 and not flushed:
+                yield close()
+            # keys that begin and end here, and the one that may go on
+            last = int(edge[-1]) if len(edge) else 0
+            last = max(last, start)
+            inner = rows[:, start:last]
+            if inner.shape[1]:
+                begins = np.flatnonzero(np.diff(inner[0], prepend=~inner[0, :1]))
+                times = np.diff(np.append(begins, inner.shape[1]))
+                times = np.repeat(times, times)
+                yield out_of(*inner[:, times > 1], np.minimum(times[times > 1], COMMON))
+            held, size, flushed = [rows[:, last:]], rows.shape[1] - last, False
+            if size >= COMMON:
+                yield close()
+                held, flushed = [rows[:, -1:]], True
+        if held and size > 1 and not flushed:
+            yield close()
+
+    rows = over_batches(found.where("keys is not null").select("sid", "keys"), rows_of, "key long, sid long, may int")
+    shared = rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(counted, "key long, sid long, may int, common int")
+    # of each set and class, without the most common keys
+    ranked = F.sort_array(F.collect_list(F.struct(-F.col("common"), "key")))
+    drop = F.when(F.min("may") < 0, F.least(-F.min("may"), F.count_if(F.col("may") < 0).cast("int"))).otherwise(F.max("may")).alias("drop")
+    return (shared.groupBy("sid", F.col("key").bitwiseAND(255).alias("class")).agg(ranked.alias("ranked"), drop)
+            .select("sid", F.explode(F.slice("ranked", F.col("drop") + 1, F.greatest(F.size("ranked") - F.col("drop"), F.lit(0)))).alias("r"))
+            .select(F.col("r.key").alias("key"), "sid"))
+
+
+def connected(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets with a key in common. rows: (key, sid), each once."""
+    def connect(batches):
+        last, center = None, None
+        for batch in batches:
+            key, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            new = np.diff(key, prepend=~key[:1]) != 0
+            if last is not None and key[0] == last:
+                new[0] = False
+            head = np.concatenate([[center if center is not None else -1], sid[new]])[np.cumsum(new)]
+            edge = np.unique(np.stack([head, sid], 1)[~new], axis=0)
+            last, center = key[-1], head[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(connect, "a long, b long")
+
+
 def shared_keys(found: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets with a key in common; (a, a) for a set met again.
 
@@ -293,21 +413,23 @@ def other_links(members: DataFrame, close: DataFrame, percent: int, compare=bloc
     block = block or BLOCK
     marked = members.select("sid", "tree", F.octet_length("tokens").alias("bytes")).join(
         close.select("sid", F.lit(True).alias("close")), "sid", "left").withColumn("core", (F.col("sid") == F.col("tree")) | F.coalesce("close", F.lit(False)))
-    counts = marked.groupBy("tree").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("rest")).where("rest > 0 and n > 2")
+    counts = staged(marked.groupBy("tree").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"), F.count_if(~F.col("core")).alias("rest")).where("rest > 0 and n > 2"))
+    small = (F.col("n") <= block) & (F.col("all") <= BLOCK_BYTES)
+    works = (counts.where(small).agg(F.sum("all").alias("all")).first()["all"] or 0) // WORK_BYTES * 4 + 64
     # blocks: by kind, by size so that only the same and the next one can link, and by hash
     size = F.floor(F.log(F.col("bytes") / 8) / F.lit(math.log(100 / percent))).cast("int")
-    inside = marked.join(counts.select("tree", "n"), "tree").withColumn("size", size)
-    per = inside.groupBy("tree", "core", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"))
+    inside = marked.join(counts.select("tree", small.alias("small")), "tree").withColumn("size", size)
+    per = inside.groupBy("tree", "core", "size").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("cut"))
     placed = staged(inside.join(per, ["tree", "core", "size"]).select(
-        "sid", "tree", "core", "size", "n", F.pmod(F.xxhash64("sid"), "cut").cast("int").alias("part")).distinct())
-    blocks = staged(placed.select("tree", "core", "size", "part", "n").distinct())
+        "sid", "tree", "core", "size", "small", F.pmod(F.xxhash64("sid"), "cut").cast("int").alias("part")).distinct())
+    blocks = staged(placed.select("tree", "core", "size", "part", "small").distinct())
     x, y = blocks.alias("x"), blocks.alias("y")
     order = lambda s: F.struct(f"{s}.core", f"{s}.size", f"{s}.part")
     pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.abs(F.col("x.size") - F.col("y.size")) <= 1)
                    & ~(F.col("x.core") & F.col("y.core")) & (order("x") <= order("y")))
     # a small tree is compared in one piece of work with other small trees; a large one pair by pair
     pair = F.xxhash64("x.tree", "x.core", "x.size", "x.part", "y.core", "y.size", "y.part")
-    work_at = F.when(F.col("x.n") <= block, F.pmod("x.tree", F.lit(1009))).otherwise(pair)
+    work_at = F.when(F.col("x.small"), F.pmod(F.xxhash64("x.tree"), F.lit(works))).otherwise(pair)
     pairs = staged(pairs.select(F.col("x.tree").alias("tree"), pair.alias("pair"), work_at.alias("work"),
                                 F.array(*[F.struct(F.col(f"{s}.core").alias("core"), F.col(f"{s}.size").alias("size"), F.col(f"{s}.part").alias("part"),
                                                    F.lit(s == "y").alias("right")) for s in "xy"]).alias("sides"))
@@ -342,7 +464,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 def groups_of(docs: DataFrame, width: int, percent: int, *keep: str) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and (sid, _group) of those that are linked."""
     found = staged(sets(docs, width, percent, *keep))
-    trees = staged(components(shared_keys(found)))
+    trees = staged(components(connected(staged(telling_keys(found)))))
     chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
               .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
     members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
@@ -356,7 +478,7 @@ def join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Of each group of linked documents, the row of the smallest (id, hash of the text). Columns stay.
+    """Of each group of linked documents, the row of the smallest (id, hash of the text). Columns stay, whatever their names.
 
     Rows without an id are not weighed against those with one; of each group of them, one row stays. Rows that
     repeat an id, or its absence, and the text become one.
@@ -365,15 +487,17 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     rows = found.select("doc_id", "text_hash", "sid").join(joined, "sid", "left").withColumn("_group", F.coalesce("_group", "sid"))
     no_id = F.col("doc_id").isNull().alias("_no_id")
     first = rows.where("_group is not null").groupBy("_group", no_id).agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
+    own, hashed = free_name(docs, "_id"), free_name(docs, "_hash")
     gone = staged(rows.withColumn("_no_id", no_id).join(first, ["_group", "_no_id"])
                   .where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("_first")))
-                  .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+                  .select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(hashed))
     left = docs.join(checked_broadcast(gone), same, "left_anti")
-    twice = staged(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n"))
-                   .where("n > 1").select("_id", "_hash"))
+    twice = staged(found.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).agg(F.count("*").alias("n"))
+                   .where("n > 1").select(own, hashed))
     once = left.join(checked_broadcast(twice), same, "left_anti")
-    several = left.join(checked_broadcast(twice), same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    several = (left.join(checked_broadcast(twice), same, "left_semi").withColumn(hashed, F.xxhash64("text"))
+               .dropDuplicates(["doc_id", hashed]).drop(hashed))
     return once.unionByName(several)
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,12 +44,45 @@ def all_links(sets, percent=90):
     return [(a, b) for i, a in enumerate(names) for b in names[:i] if S.linked(sets[a], sets[b], percent)]
 
 
+def packed(sid, tokens, percent):
+    keys, may = S.part_keys(tokens, percent)
+    return sid, bytearray(keys.tobytes() + may.astype(np.int32).tobytes())
+
+
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_part(token_sets, percent):
-    keys = {n: set(S.part_keys(t, percent).tolist()) for n, t in token_sets.items()}
+def test_linked_sets_share_a_telling_part(spark, token_sets, percent):
+    """Among unrelated sets with a formula in common, too: it brings no link to nothing, and nothing together."""
+    rng, token_sets = random.Random(3), dict(token_sets)
+    formula = " ".join(f"f{i}" for i in range(14))
+    for _ in range(300):
+        words = " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(rng.choice([40, 90, 150])))
+        for text in (f"{words} {formula}", f"{words} x{rng.random()} {formula}"):
+            tokens = S.shingle_set(text.encode())
+            token_sets[S.set_id(tokens)] = tokens
+    rows = [packed(n, t, percent) for n, t in token_sets.items()]
+    keys = {}
+    for r in S.telling_keys(spark.createDataFrame(rows + rows[:50], "sid long, keys binary")).collect():
+        keys.setdefault(r["sid"], set()).add(r["key"])
     links = all_links(token_sets, percent)
-    assert len(links) > 50
+    assert len(links) > 300
     assert all(keys[a] & keys[b] for a, b in links)
+    if percent == 80:
+        largest = Counter(components_of(list(token_sets), [(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]]).values()).most_common(1)
+        assert largest[0][1] < 60
+
+
+def test_counting_keys_in_batches(spark):
+    """Keys of many more sets than are held, over many batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        def row(sid, *keys):
+            return sid, bytearray(np.array([k << 8 for k in keys], np.uint64).tobytes() + np.full(len(keys), 1, np.int32).tobytes())
+        rows = [row(s, 1, 2 + s % 2000, 10 ** 6 + s) for s in range(9000)] + [row(5, 1, 7)]
+        got = sorted((r["key"] >> 8, r["sid"]) for r in S.telling_keys(spark.createDataFrame(rows, "sid long, keys binary")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted((2 + s % 2000, s) for s in range(9000))     # of each, the most common key is passed over
 
 
 def test_traversal_loses_no_link(token_sets):
