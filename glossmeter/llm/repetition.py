@@ -16,8 +16,11 @@ one; texts of any length are taken whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmeter.llm.common import as_bytes, documents, mix, over_batches, steps, word_hashes
@@ -183,6 +186,21 @@ def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns, whatever these are called."""
     names = docs.columns
-    safe = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], "text")
-    kept = quality(safe, [f"_c{i}" for i in range(len(names))]).where("kept")
+    safe = docs.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)])
+    place = [n.lower() for n in names].index("text")
+
+    def work(batch: pa.RecordBatch):
+        texts = batch.column(place)
+        for a, b in _ranges(texts):
+            # a few texts at a time, so that a batch is not held a second time
+            kept = measure(texts.slice(a, b - a).cast(pa.binary()).to_pylist())["kept"]
+            yield batch.slice(a, b - a).filter(pa.array(kept))
+
+    kept = over_batches(safe, work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in safe.schema))
     return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows as of steps(), by the lengths of the texts."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return steps([range(n) for n in size.tolist()])
