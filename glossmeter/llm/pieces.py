@@ -9,8 +9,9 @@ one; with none left, the place is marked in a field of failed ones, and the last
 place is marked once, so the work is linear.
 
 Characters that are no piece are pieces of their own here and become their UTF-8 bytes at the end. Where no
-piece of the model has a space mark behind another character, no merge crosses such a place either, so a
-text is cut there and a stretch met before is not encoded again. What a worker remembers changes no result.
+piece of the model has two characters beside each other, no merge crosses the place between them; so a text
+is cut before space marks, and stretches before signs where they allow it, and what was met before is not
+encoded again. What a worker remembers changes no result.
 
 Texts are encoded where they are read; nothing is shuffled. Decoding goes by the ids alone.
 
@@ -22,17 +23,20 @@ are rows like others; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import re
+import string
+from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossmeter.llm.common import documents, over_batches, steps
+from glossmeter.llm.common import documents, over_batches, remembers, steps
 
 MARK = "▁"
 #: Stretches and pairs of pieces that a worker remembers, and characters of the longest such stretch.
-REMEMBERED, PAIRS, LONGEST = 400_000, 2_000_000, 64
+REMEMBERED, PAIRS, LONGEST = 400_000, 1_000_000, 64
 #: Ids from here on stand for characters that are no piece.
 CHARACTER = 1 << 24
 
@@ -75,16 +79,33 @@ class PieceModel:
         self.is_byte[list(self.byte_of)] = True
         # pieces that merging can reach; others are never in an encoding
         self.own = {t: i for t, i in own.items() if self._reached(t)}
-        self.by_spaces = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.own)
+        # where no piece has two characters beside each other, no merge crosses the place between them
+        before: dict[str, set[str]] = {c: set() for c in f"{MARK}\n\t\r{string.punctuation}"}
+        for text in self.own:
+            for x, y in zip(text, text[1:]):
+                if y in before:
+                    before[y].add(x)
+        self.by_spaces = before.pop(MARK) <= {MARK}
+        alike: dict[str, str] = {}
+        for sign, others in before.items():
+            key = "".join(sorted(others))
+            alike[key] = alike.get(key, "") + sign
+        ways = "|".join([(f"(?<![{re.escape(o)}])" if o else "") + f"(?=[{re.escape(signs)}])" for o, signs in alike.items()])
+        self.parts = re.compile(f"(?=[{re.escape(''.join(before))}])(?:{ways})")
         #: a character of no piece, so that no match runs over it
         self.gap = next(c for c in map(chr, range(0x110000)) if not any(c in t for t in self.own))
         self.length = [len(t) for t in self.texts]
+        self.sizes = np.array(self.length, np.int64)
+        self.single = np.arange(CHARACTER, CHARACTER + 0x110000)
+        self.single[[ord(t) for t in self.own if len(t) == 1]] = [i for t, i in self.own.items() if len(t) == 1]
         self.shorter = {i: self._shorter(t) for t, i in self.own.items()}
         self.matches = ahocorasick.Automaton()
         for text, i in self.own.items():
-            self.matches.add_word(text, i)
+            if len(text) > 1:
+                self.matches.add_word(text, i)
         self.matches.make_automaton()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}                    # of stretches, without their first space mark
+        self.known_parts: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # -- merging, which decides which pieces and pairs are possible ------------------------------
@@ -133,11 +154,10 @@ class PieceModel:
 
     def _longest(self, text: str) -> list[int]:
         """The longest piece that begins at each character."""
-        ends = list(self.matches.iter(text))
-        found = [CHARACTER + ord(c) for c in text]
-        for last, i in ends:                                  # later matches of a place are longer
-            found[last - self.length[i] + 1] = i
-        return found
+        found = self.single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        hits = np.fromiter(chain.from_iterable(self.matches.iter(text)), np.int64).reshape(-1, 2)
+        found[hits[:, 0] - self.sizes[hits[:, 1]] + 1] = hits[:, 1]      # later matches of a place are longer
+        return found.tolist()
 
     def _walk(self, longest: list[int], start: int, stop: int) -> list[int]:
         """Pieces of a stretch, by backtracking."""
@@ -168,7 +188,7 @@ class PieceModel:
     def _ids(self, pieces: list[int]) -> bytes:
         if max(pieces) >= CHARACTER:
             pieces = [i for p in pieces for i in ((p,) if p < CHARACTER else map(self.byte_ids.__getitem__, chr(p - CHARACTER).encode()))]
-        return np.array(pieces, "<u4").tobytes()
+        return array("I", pieces).tobytes()
 
     def _stretches(self, text: str) -> list[str]:
         """Parts of a text that encode by themselves, each without the space mark before it."""
@@ -179,30 +199,37 @@ class PieceModel:
         return parts
 
     def _learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of stretches, by one run of the automaton."""
-        longest, at, out = self._longest("".join([MARK + p + self.gap for p in parts])), 0, []
+        """Ids of parts, by one run of the automaton."""
+        longest, at, out = self._longest("".join([p + self.gap for p in parts])), 0, []
         for part in parts:
-            stop = at + len(part) + 1
+            stop = at + len(part)
             out.append(self._ids(self._walk(longest, at, stop)))
             at = stop + 1
         return out
 
+    def _remembered(self, stretches: list[str]) -> None:
+        """Encode new stretches by their parts."""
+        cut = [self.parts.split(MARK + s) for s in stretches]
+        fresh = list({p for parts in cut for p in parts}.difference(self.known_parts))
+        for a in range(0, len(fresh), 4096):
+            self.known_parts.update(zip(fresh[a:a + 4096], self._learn(fresh[a:a + 4096])))
+        self.known.update(zip(stretches, [b"".join(map(self.known_parts.__getitem__, parts)) for parts in cut]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text: its ids, with those of begin and end, as little-endian unsigned 32-bit numbers."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        for held in (known, self.known_parts):
+            if len(held) > REMEMBERED:
+                held.clear()
         head, tail = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
         if not self.by_spaces:
-            return [head + (self._ids(self._walk(self._longest(m := MARK + t.replace(" ", MARK)), 0, len(m))) if t else b"") + tail for t in texts]
+            return [head + (self._learn([MARK + t.replace(" ", MARK)])[0] if t else b"") + tail for t in texts]
         split = [self._stretches(t) if t else [] for t in texts]
-        fresh = list({p for parts in split for p in parts if p not in known})
+        fresh = set().union(*split).difference(known)
         long = [p for p in fresh if len(p) > LONGEST]
-        short = [p for p in fresh if len(p) <= LONGEST]
-        for a in range(0, len(short), 4096):
-            part = short[a:a + 4096]
-            known.update(zip(part, self._learn(part)))
-        here = {p: self._learn([p])[0] for p in long}
+        fresh.difference_update(long)
+        self._remembered(list(fresh))
+        here = {p: self._learn([MARK + p])[0] for p in long}
         look = known.__getitem__ if not here else lambda p: here[p] if p in here else known[p]
         return [b"".join([head, *map(look, parts), tail]) for parts in split]
 
@@ -263,6 +290,7 @@ _MODELS: dict[str, PieceModel] = {}
 
 def model(path: str) -> PieceModel:
     """One model per worker and file."""
+    remembers("pieces", _MODELS.clear)
     if path not in _MODELS:
         _MODELS[path] = PieceModel(path)
     return _MODELS[path]
