@@ -9,10 +9,13 @@ string of a special token are encoded as they are.
 from __future__ import annotations
 
 import re
+from operator import is_not
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from glossmeter.llm.common import remembers
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -22,7 +25,7 @@ def default_tokenizer() -> str:
 
 
 #: Chunks that are encoded together, and that a worker remembers.
-GROUP, REMEMBERED = 2000, 400_000
+GROUP, REMEMBERED = 2000, 700_000
 
 
 class Encoder:
@@ -38,6 +41,7 @@ class Encoder:
             self.n_bytes[i] = len(entry)
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
+        self.first_ids: dict[str, bytes] = {}                 # of chunks that begin a text, so without a space
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -76,7 +80,7 @@ class Encoder:
             return None
         chunks = text.split(" ")
         new = set(chunks).difference(known)
-        if any([not c or c[0].isspace() or c[-1].isspace() for c in new]):
+        if "" in new or any(map(is_not, map(str.strip, new), new)):       # strip gives the very string if there is nothing to strip
             chunks = _CUT.split(text)
             if chunks[0][:1].isspace():
                 return None
@@ -87,19 +91,25 @@ class Encoder:
     def encode(self, texts: list[str], spans: bool = False) -> list:
         """Per text: its ids as little-endian unsigned 32-bit numbers, or with `spans` the starts and ends of its tokens."""
         known = self.spans if spans else self.ids
-        if len(known) > REMEMBERED:
-            known.clear()
+        for held in (known, self.first_ids):
+            if len(held) > REMEMBERED:
+                held.clear()
         fresh: set[str] = set()
         cuts = [self._cut(t, known, fresh) for t in texts]
         new = list(fresh)
         for i in range(0, len(new), GROUP):
             self._learn(new[i:i + GROUP], spans)
+        if not spans:
+            begins = list({c[0] for c in cuts if c}.difference(self.first_ids))
+            for i in range(0, len(begins), GROUP):
+                found = self.tokenizer.encode_batch_fast(begins[i:i + GROUP], add_special_tokens=False)
+                self.first_ids.update(zip(begins[i:], [np.array(f.ids, np.uint32).tobytes() for f in found]))
         return [(self._spans if spans else self._packed)(t, c) for t, c in zip(texts, cuts)]
 
     def _packed(self, text: str, chunks: list[str] | None) -> bytes:
         if chunks is None:
             return self._whole(text)[0] if text else b""
-        return b"".join([self._ids(chunks[0]).tobytes(), *map(self.ids.__getitem__, chunks[1:])])
+        return b"".join([self.first_ids[chunks[0]], *map(self.ids.__getitem__, chunks[1:])])
 
     def _spans(self, text: str, chunks: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
         if chunks is None:
@@ -118,6 +128,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
+    remembers("encoders", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
