@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from glossmeter.counters import TextCounter, order_key
-from glossmeter.operators.indexing import number_rows
-from glossmeter.stage import small, staged
+from glossmeter.operators.joined import PieceCounter, Splitter
 
 # Fixed value: the split pattern of the gpt2 / r50k / p50k encodings.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,7 +74,7 @@ def prefix_vocabulary(texts: DataFrame, size: int) -> DataFrame:
 # -- encoders on the workers ---------------------------------------------------------------
 
 _encodings: dict[tuple, object] = {}
-MAX_ENCODERS = 64       # kept per worker process; a sweep needs one per size
+MAX_ENCODERS = 64       # kept per worker process
 
 
 def _encoding(ranks, pattern: str, special: tuple[tuple[str, int], ...] = ()):
@@ -148,105 +145,32 @@ def piece_counts(texts: DataFrame, group: Sequence[str], text: str = "text",
             .groupBy(*group, "piece").agg(F.count(F.lit(1)).alias("n")))
 
 
-def tokens_by_size(pieces: DataFrame, group: Sequence[str], ranks: _Ranks, sizes: Sequence[float]) -> DataFrame:
-    """(group, vocab_size, n_tokens) for every truncation of the vocabulary.
-
-    All groups that hold a piece (a corpus and language each, so few) come together in one
-    row; the piece is then encoded once per size inside one batch function. Sizes are not
-    joined to the text. The number of tasks is set here, since small rows carry much work.
-    """
-    cuts = [float(s) for s in sizes]
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def encode_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoders = [_encoding(_Cut(ranks, cut), _WHOLE) for cut in cuts]
-        for batch in batches:
-            texts = batch.tolist()
-            counts = [[len(ids) for ids in map(e.encode_ordinary, texts)] for e in encoders]
-            yield pd.Series(list(np.array(counts, dtype=np.int64).T), index=batch.index)
-
-    spark = pieces.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = F.collect_list(F.struct(*group, "n")).alias("_held")
-    encoded = pieces.repartition(tasks, "piece").groupBy("piece").agg(held).select("_held", encode_all("piece").alias("_k"))
-    rows = encoded.select(F.explode("_held").alias("_h"), "_k").select("_h.*", "_k")
-    sums = [F.sum(F.col("n") * F.col("_k")[i]).alias(f"_s{i}") for i in range(len(cuts))]
-    totals = rows.groupBy(*group).agg(*sums)
-    entries = F.array(*[F.struct(F.lit(cut).alias("vocab_size"), F.col(f"_s{i}").alias("n_tokens"))
-                        for i, cut in enumerate(cuts)])
-    return totals.select(*group, F.explode(entries).alias("_e")).select(*group, "_e.vocab_size", "_e.n_tokens")
+def splitter(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Splitter:
+    """The split pattern, and the tokens of one piece, for totals that are merged from runs of sentences."""
+    def make():
+        encoder = _encoding(ranks, _WHOLE)
+        return pattern, lambda piece: len(encoder.encode_ordinary(piece))
+    return make
 
 
-class _Cut:
-    """Handle of a vocabulary truncated at a rank."""
+def vocabulary_counter(counter_id: str, spec: str, ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> PieceCounter:
+    return PieceCounter(counter_id, spec, count_column(ranks, pattern), joiner=None, splitter=splitter(ranks, pattern))
 
-    def __init__(self, ranks: _Ranks, below: float):
-        self._ranks, self._below, self.id = ranks, below, f"{ranks.id}<{below}"
-
-    @property
-    def value(self) -> dict[bytes, int]:
-        return {t: r for t, r in self._ranks.value.items() if r < self._below}
 
+def read_ranks(spark, path: str) -> DataFrame:
+    """Vocabulary table of a ranks file: lines of a token in base 64 and its rank."""
+    parts = F.split(F.trim("value"), " ")
+    return (spark.read.text(path).where(F.trim("value") != "")
+            .select(F.unbase64(parts[0]).alias("token"), parts[1].cast("bigint").alias("rank")))
 
-# What \s matches in the split patterns (the Unicode White_Space property).
-_SPACES = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
-           "\u200a\u2028\u2029\u202f\u205f\u3000")
 
-
-def joined_pieces(units: DataFrame, pattern: str = SPLIT_PATTERN) -> DataFrame:
-    """(corpus, lang, piece, n) of ``" ".join(sentences)``, without building that string.
-
-    A split pattern keeps at most one white-space character with the word behind it, and the
-    rest of a white-space run is a piece of its own. So a sentence is read with the last
-    character of the run before it (the joining space, as a rule), and only the rare longer
-    runs, made of one sentence's trailing and the next one's leading space, are put together
-    by a join of those few rows. Sentences must not be blank. Exact for patterns that cut
-    between a visible character and white space; those that tie line breaks to punctuation
-    need single-line sentences.
-    """
-    spaces = F.lit(_SPACES)
-    keys, order = ["corpus", "lang"], order_key(units)
-    cut = units.select(*keys, order, "text", F.ltrim("text", spaces).alias("_right"),
-                       F.rtrim("text", spaces).alias("_left"))
-    lead = F.substr("text", F.lit(1), F.char_length("text") - F.char_length("_right"))
-    tail = F.substr("text", F.char_length("_left") + 1, F.char_length("text"))
-    cut = cut.select(*keys, order, lead.alias("_lead"), tail.alias("_tail"), F.rtrim("_right", spaces).alias("_core"))
-    # one row per corpus and language: small, so the text stays where it is
-    spans = small(staged(units.groupBy(*keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_end"))))
-    joiner = F.when(F.col(order) == F.col("_first"), "").otherwise(" ")
-    main = (cut.join(spans, keys)
-            .select(*keys, F.concat(F.when(F.col("_lead") != "", F.right("_lead", F.lit(1))).otherwise(joiner),
-                                    F.col("_core")).alias("text")))
-
-    narrow = cut.select(*keys, order, "_lead", "_tail")
-    if order != "sentence_idx":
-        narrow = number_rows(narrow, keys, order, "sentence_idx", levels=2)
-    at = F.col("sentence_idx")
-    leads = narrow.where(F.col("_lead") != "").select(*keys, "sentence_idx", "_lead")
-    tails = narrow.where(F.col("_tail") != "").select(*keys, (at + 1).alias("sentence_idx"), "_tail")
-    runs = leads.join(tails, [*keys, "sentence_idx"], "full").join(spans, keys)
-    before, after = F.coalesce("_tail", F.lit("")), F.coalesce("_lead", F.lit(""))
-    joined = F.concat(before, F.when(at > 0, " ").otherwise(""), after)
-    rest = F.when(at == F.col("_end"), before).otherwise(F.substr(joined, F.lit(1), F.char_length(joined) - 1))
-    longer = runs.select(*keys, rest.alias("text")).where(F.col("text") != "")
-    return piece_counts(main.unionByName(longer), keys, pattern=pattern)
-
-
-@dataclass(frozen=True)
-class VocabularyCounter(TextCounter):
-    """Counter over a vocabulary; corpus totals run over merged pieces, not one long string."""
-
-    ranks: _Ranks | None = None
-    pattern: str = SPLIT_PATTERN
-
-    def joined_totals(self, units: DataFrame) -> DataFrame:
-        totals = tokens_by_size(joined_pieces(units, self.pattern), ["corpus", "lang"], self.ranks, [float("inf")])
-        return totals.select("corpus", "lang", F.col("n_tokens").alias("total"))
-
-
-def vocabulary_counter(counter_id: str, spec: str, ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> VocabularyCounter:
-    return VocabularyCounter(counter_id, spec, count_column(ranks, pattern), joiner=None,
-                             ranks=ranks, pattern=pattern)
+def ranks_file_counter(spark, counter_id: str, path: str, pattern: str = SPLIT_PATTERN) -> PieceCounter:
+    """Counter over a ranks file in any store that Spark reads. Single bytes that it lacks are an error."""
+    ranks = collect_ranks(read_ranks(spark, path))
+    missing = [b for b in range(256) if bytes([b]) not in ranks]
+    if missing:
+        raise ValueError(f"ranks file {path} lacks {len(missing)} single bytes")
+    return vocabulary_counter(counter_id, path, share(spark, ranks), pattern)
 
 
 # -- alignment -----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glossmeter import dims
 from glossmeter.functions import numbers as N, text as T
-from glossmeter.operators import (bpe, carry, charts, coincidence, cost, fingerprint, gates, indexing, measure,
+from glossmeter.operators import (bpe, carry, charts, coincidence, cost, fingerprint, gates, indexing, measure, merges,
                                   parity, premium, slices)
 from glossmeter.plans import workload as W
 from glossmeter.plans.workload import DIMS, Workload
@@ -711,7 +711,7 @@ def vocab_sweep(w: Workload) -> DataFrame:
     found = bpe.collect_ranks(_vocabulary(w))
     ranks = bpe.share(w.spark, found)
     sizes = [256 + (len(found) - 256) * i / (SWEEP_STEPS - 1) for i in range(SWEEP_STEPS)]
-    return bpe.tokens_by_size(bpe.piece_counts(w.documents, ["lang"]), ["lang"], ranks, sizes)
+    return merges.tokens_by_size(bpe.piece_counts(w.documents, ["lang"]), ["lang"], ranks, sizes)
 
 
 @query

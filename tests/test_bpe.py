@@ -3,7 +3,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from glossmeter.operators import bpe
+from glossmeter.operators import bpe, merges
 
 TEXTS = ["abab c", "the cat  sat", " lead", "tail  ", "\ttab\tx ", "é🙂 漢字 don't we'll", "a\nb\n\nc", "x", "12 34,5!?", "  both  "]
 
@@ -73,7 +73,7 @@ def test_special_token_text_is_refused(spark, shared):
 def test_sweep_matches_brute_force(spark, ranks, shared):
     df = _texts(spark).withColumn("lang", F.when(F.col("i") % 2 == 0, "a").otherwise("b"))
     sizes = [256, 270, 1e6]
-    got = {(r.lang, r.vocab_size): r.n_tokens for r in bpe.tokens_by_size(bpe.piece_counts(df, ["lang"]), ["lang"], shared, sizes).collect()}
+    got = {(r.lang, r.vocab_size): r.n_tokens for r in merges.tokens_by_size(bpe.piece_counts(df, ["lang"]), ["lang"], shared, sizes).collect()}
     for size in sizes:
         cut = {t: r for t, r in ranks.items() if r < size}
         for lang, par in (("a", 0), ("b", 1)):
