@@ -507,6 +507,87 @@ _DERIVED = {
     "vocab_slice": "SELECT rank, token_hex FROM ranked WHERE rank < 4096",
 }
 
+# White space as the split pattern sees it, for a character class.
+_WHITE = r"\s\x0B\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _encoded(source: str, then: str) -> str:
+    """A query over the byte-pair tokens of texts. source: (key, text).
+
+    cut: (key, place, piece), the pieces of each text. merged: (piece, own, parts, rank), one row per merge with the
+    tokens after it in hexadecimal, and one of rank -1 before all. A piece that is a token (of rank own) is one
+    token however it merges. left_over: after the last merge below that rank. encoded: (piece, parts).
+    The split pattern leaves the last white space of a run to the word behind it; a mark set before it says so.
+    """
+    return rf"""
+        SELECT * FROM (WITH RECURSIVE source AS ({source}),
+        cut AS (SELECT key, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM (
+          SELECT key, regexp_extract_all(regexp_replace(text, '([{_WHITE}])([{_WHITE}][^{_WHITE}])', '\1' || chr(1) || '\2', 'g'),
+            '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}\x01]+|[{_WHITE}]+') AS p FROM source)),
+        own AS (SELECT piece, min(rank) AS own FROM (SELECT DISTINCT piece FROM cut) LEFT JOIN vocabulary ON token_hex = hex(encode(piece)) GROUP BY piece),
+        merged(piece, own, parts, rank) AS (
+          SELECT piece, own, regexp_extract_all(hex(encode(piece)), '..'), -1::BIGINT FROM own
+          UNION ALL
+          SELECT piece, own, parts[1:spot - 1] || [parts[spot] || parts[spot + 1]] || parts[spot + 2:], low FROM (
+            SELECT piece, any_value(own) AS own, any_value(parts) AS parts, arg_min(i, v.rank * 1000000 + i) AS spot, min(v.rank)::BIGINT AS low
+            FROM (SELECT piece, own, parts, unnest(range(1, len(parts))) AS i FROM merged) JOIN vocabulary v
+              ON token_hex = parts[i] || parts[i + 1] AND v.rank < coalesce(own, 1000000)
+            GROUP BY piece)),
+        left_over AS (SELECT piece, any_value(own) AS own, arg_min(parts, len(parts)) AS parts FROM merged GROUP BY piece),
+        encoded AS (SELECT piece, CASE WHEN own IS NULL THEN parts ELSE [hex(encode(piece))] END AS parts FROM left_over)
+        {then})"""
+
+
+def _inside(part: str) -> str:
+    """A token that is a byte inside a character goes on with the group before it."""
+    return f"(len({part}) = 2 AND {part}[1] IN ('8', '9', 'A', 'B'))"
+
+
+_DERIVED |= {
+    "bpe_count": _encoded("SELECT doc_id AS key, nfc_normalize(text) AS text FROM documents", """
+        SELECT key AS doc_id, CAST(sum(len(parts)) AS BIGINT) AS n_tokens FROM cut JOIN encoded USING (piece) GROUP BY key"""),
+    "bpe_joined_count": _encoded("""
+          SELECT {'corpus': corpus, 'lang': lang} AS key, string_agg(text, ' ' ORDER BY doc_id) AS text FROM units GROUP BY corpus, lang""", """
+        SELECT key.corpus AS corpus, key.lang AS lang, CAST(sum(len(parts)) AS BIGINT) AS total FROM cut JOIN encoded USING (piece) GROUP BY key"""),
+    # Ranks mostly rise as a piece merges, so a size is a range sum over its merges; the few pieces that merge back to
+    # a lower rank are merged at each size anew.
+    "vocab_sweep": _encoded("SELECT lang AS key, text FROM documents", """,
+        cuts AS (SELECT 256 + 3840 * i / 19 AS vocab_size FROM range(20) r(i)),
+        counts AS (SELECT key AS lang, piece, count(*) AS n FROM cut GROUP BY ALL),
+        odd AS (SELECT DISTINCT piece FROM (SELECT piece, rank < lag(rank) OVER (PARTITION BY piece ORDER BY len(parts) DESC) AS back FROM merged) WHERE back),
+        redo(piece, vocab_size, own, parts) AS (
+          SELECT piece, vocab_size, own, regexp_extract_all(hex(encode(piece)), '..') FROM own CROSS JOIN cuts WHERE piece IN (FROM odd)
+          UNION ALL
+          SELECT piece, vocab_size, own, parts[1:spot - 1] || [parts[spot] || parts[spot + 1]] || parts[spot + 2:] FROM (
+            SELECT piece, vocab_size, any_value(own) AS own, any_value(parts) AS parts, arg_min(i, v.rank * 1000000 + i) AS spot
+            FROM (SELECT piece, vocab_size, own, parts, unnest(range(1, len(parts))) AS i FROM redo) JOIN vocabulary v
+              ON token_hex = parts[i] || parts[i + 1] AND v.rank < vocab_size
+            GROUP BY piece, vocab_size)),
+        redone AS (SELECT lang, vocab_size, sum(n * k) AS again FROM counts JOIN (
+          SELECT piece, vocab_size, CASE WHEN any_value(own) < vocab_size THEN 1 ELSE min(len(parts)) END AS k FROM redo GROUP BY piece, vocab_size) USING (piece)
+          GROUP BY lang, vocab_size),
+        bytes AS (SELECT lang, sum(CASE WHEN piece NOT IN (FROM odd) THEN n * strlen(piece) ELSE 0 END) AS bytes FROM counts GROUP BY lang),
+        steps AS (SELECT piece, rank, 1 AS k FROM merged WHERE rank >= 0 UNION ALL SELECT piece, own, len(parts) - 1 FROM left_over WHERE own IS NOT NULL),
+        falls AS (SELECT lang, rank, sum(n * k) AS fall FROM counts JOIN steps USING (piece) WHERE piece NOT IN (FROM odd) GROUP BY ALL)
+        SELECT lang, vocab_size, CAST(any_value(bytes) - coalesce(sum(fall) FILTER (WHERE rank < vocab_size), 0) + coalesce(any_value(again), 0) AS BIGINT) AS n_tokens
+        FROM bytes CROSS JOIN cuts LEFT JOIN redone USING (lang, vocab_size) LEFT JOIN falls USING (lang) GROUP BY lang, vocab_size"""),
+    "token_text_alignment": _encoded("SELECT doc_id AS key, text FROM documents", f"""
+        SELECT doc_id, coalesce(n_groups, 0) AS n_groups, coalesce(n_tokens, 0) AS n_tokens, md5(text) AS text_md5 FROM documents LEFT JOIN (
+          SELECT key AS doc_id, CAST(sum(len(list_filter(parts, lambda x: NOT {_inside('x')}))) AS BIGINT) AS n_groups,
+                 CAST(sum(len(parts)) AS BIGINT) AS n_tokens
+          FROM cut JOIN encoded USING (piece) GROUP BY key) USING (doc_id)"""),
+    "latex_alignment": _encoded("SELECT item_id AS key, text FROM benchmark", rf"""
+        SELECT item_id, string_agg(codes, ' & ' ORDER BY grp) || '\\' || chr(10) || string_agg('\wrapword{{' || text || '}}', ' & ' ORDER BY grp) || chr(10) AS latex
+        FROM (SELECT item_id, grp, decode(unhex(string_agg(part, '' ORDER BY place, i))) AS text,
+                     string_agg(CASE WHEN n = 1 THEN '\wrapword{{' WHEN k = 1 THEN '\wrapwordleft{{' WHEN k = n THEN '\wrapwordright{{'
+                                     ELSE '\wrapwordcenter{{' END || rank || '}}', '' ORDER BY place, i) AS codes
+              FROM (SELECT *, count(*) OVER (PARTITION BY item_id, grp) AS n, row_number() OVER (PARTITION BY item_id, grp ORDER BY place, i) AS k
+                    FROM (SELECT key AS item_id, place, i, part, count(*) FILTER (WHERE NOT {_inside('part')}) OVER (PARTITION BY key ORDER BY place, i) AS grp
+                          FROM (SELECT key, place, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut JOIN encoded USING (piece)))
+                    JOIN (SELECT rank, token_hex AS part FROM vocabulary UNION ALL SELECT b, printf('%02X', b) FROM range(256) r(b)) USING (part))
+              GROUP BY item_id, grp) GROUP BY item_id"""),
+}
+
 _CONCAT = """
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY length(source) > 4, doc_id) - 1 AS sentence_idx, doc_id
     FROM documents"""
@@ -558,7 +639,7 @@ _PLAIN = {
 }
 
 #: Steps that many others look at; computed once in a statement.
-_SHARED = ("units", "joined_counts", "counted", "raw", "agg")
+_SHARED = ("units", "joined_counts", "counted", "raw", "agg", "vocabulary")
 
 
 def _steps(prelude: str) -> dict[str, str]:
@@ -578,6 +659,7 @@ def _steps(prelude: str) -> dict[str, str]:
 
 
 _STEPS = _steps(_PRELUDE.removeprefix("WITH "))
+_STEPS["vocabulary"] = "vocabulary AS (SELECT rank, token_hex FROM ranked WHERE rank < 4096)"
 
 
 def _with_needed(body: str) -> str:
