@@ -19,6 +19,7 @@ from glossmeter.functions import text as T
 from glossmeter.operators import carry, charts, coincidence, cost, fingerprint, gates, measure, parity, premium
 from glossmeter.session import ship
 from glossmeter.sources import tables
+from glossmeter.sources.snapshots import Snapshots
 from glossmeter.stage import staged
 from glossmeter.tokenizers import CodecTokenizer, codec_lengths
 
@@ -57,6 +58,95 @@ class Results:
     def write(self, rows: DataFrame, name: str) -> None:
         tables.write_result(rows, self.path(f"{name}.csv"))
 
+    def recorded(self, dims: D.Dimensions) -> list[DataFrame]:
+        """Tables that name the spec of stored rows."""
+        return [t for t in (self.raw, self.agg) if t is not None]
+
+    def settle(self, got: Measured, dims: D.Dimensions, selected: Sequence[str]) -> Settled:
+        """Put what was measured and what stays together."""
+        prior_raw = self.raw
+        agg = carry.merge(self.agg, got.agg, dims, selected, got.ran)
+        raw = carry.merge(prior_raw, got.raw, dims, selected, got.ran)
+        if agg is None or agg.isEmpty():
+            raise gates.Refused("nothing was measured and nothing is stored; an empty dataset is not written")
+        # the stored tables are inputs of the merge and its target, so it is written elsewhere first
+        agg = staged(agg)
+        raw = staged(raw) if raw is not None else None
+        lost = carry.lost_distributions(agg, raw) if raw is not None else agg.select("counter_id").distinct()
+        frames = {}
+        if raw is not None and "envelope_tokens" in raw.columns:
+            frames = {r["counter_id"]: r["envelope_tokens"] for r in measure.carried_envelopes(raw).collect()}
+        return Settled(agg, raw, sorted(r["counter_id"] for r in lost.collect()), prior_raw is not None, frames)
+
+    def publish(self, settled: Settled, got: Measured, dims: D.Dimensions, selected: Sequence[str], manifest: dict) -> None:
+        self.write(settled.agg, "aggregate_counts")
+        if settled.raw is not None:
+            self.write(settled.raw, "raw_counts")
+        tables.write_json(self.spark, manifest, self.path("run_manifest.json"))
+
+
+class SnapshotResults(Results):
+    """Result tables as snapshots: a pass writes its own partitions, and all of it becomes visible at once.
+
+    The version is pinned when it is first looked at; ``refresh`` goes on to the latest.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root)
+        self.versions = Snapshots(spark, root)
+        self.refresh()
+
+    def refresh(self) -> None:
+        self.snapshot = self.versions.open()
+
+    @property
+    def raw(self) -> DataFrame | None:
+        return self.snapshot.table("raw_counts")
+
+    @property
+    def agg(self) -> DataFrame | None:
+        return self.snapshot.table("aggregate_counts")
+
+    @property
+    def manifest(self) -> dict:
+        return self.snapshot.manifest
+
+    def recorded(self, dims: D.Dimensions) -> list[DataFrame]:
+        """From the version's document, which keeps the specs of every partition; no fact is read."""
+        parts = [p for t in ("raw_counts", "aggregate_counts") for p in self.snapshot.parts(t)]
+        rows = [(p["corpus"], p["counter_id"], dims.baseline, spec) for p in parts for spec in p["specs"]]
+        return [self.spark.createDataFrame(rows, "corpus string, counter_id string, lang string, spec string")]
+
+    def _stays(self, got: Measured, dims: D.Dimensions, selected: Sequence[str]) -> Callable[[dict], bool]:
+        known, again = carry.known_values(dims), {(c, n) for c in selected for n in got.ran}
+        return lambda p: p["corpus"] in known["corpus"] and p["counter_id"] in known["counter_id"] and (p["corpus"], p["counter_id"]) not in again
+
+    def settle(self, got: Measured, dims: D.Dimensions, selected: Sequence[str]) -> Settled:
+        agg = carry.merge(self.agg, got.agg, dims, selected, got.ran)
+        if agg is None or agg.isEmpty():
+            raise gates.Refused("nothing was measured and nothing is stored; an empty dataset is not written")
+        agg, stays = staged(agg), self._stays(got, dims, selected)      # a row per corpus, counter and language
+        kept = [p for p in self.snapshot.parts("raw_counts") if stays(p)]
+        frames = {p["counter_id"]: p["envelope"] for p in kept if p["envelope"] is not None}
+        counters = {p["counter_id"] for p in kept} | (set(got.ran) if got.raw is not None else set())
+        lost = sorted({r["counter_id"] for r in agg.select("counter_id").distinct().collect()} - counters)
+        return Settled(agg, got.raw, lost, bool(self.snapshot.parts("raw_counts")), frames)
+
+    def publish(self, settled: Settled, got: Measured, dims: D.Dimensions, selected: Sequence[str], manifest: dict) -> None:
+        self.snapshot = self.versions.publish(self.snapshot, {"aggregate_counts": got.agg, "raw_counts": got.raw}, self._stays(got, dims, selected),
+                                              manifest, list(dims.languages))
+
+
+@dataclass
+class Settled:
+    """A pass and what stays of the passes before it: totals, facts, counters without facts, frames by facts."""
+
+    agg: DataFrame
+    raw: DataFrame | None
+    lost: list[str]
+    had_raw: bool
+    frames: dict[str, int]
+
 
 @dataclass
 class Measured:
@@ -203,35 +293,20 @@ def measure_pass(results: Results, units: DataFrame, dims: D.Dimensions, builder
         kept_counters = sorted({r[0] for r in kept.select("counter_id").distinct().collect()} - set(got.ran))
         kept_corpora = sorted({r[0] for r in kept.select("corpus").distinct().collect()} - set(selected))
         matrix = dims.counters_df(spark)
-        for stored in (prior_raw, prior_agg):
-            if stored is not None:
-                gates.require_empty(carry.stale_specs(carry.carried(stored, dims, selected, got.ran), matrix),
-                                    "stored rows were measured on another spec than the matrix names")
+        for stored in results.recorded(dims):
+            gates.require_empty(carry.stale_specs(carry.carried(stored, dims, selected, got.ran), matrix),
+                                "stored rows were measured on another spec than the matrix names")
         notes += [f"provenance unrecorded for {r['counter_id']}"
                   for r in carry.unrecorded_specs(kept.where(F.col("counter_id").isin(kept_counters))).collect()]
 
-    agg = carry.merge(prior_agg, got.agg, dims, selected, got.ran)
-    raw = carry.merge(prior_raw, got.raw, dims, selected, got.ran)
-    if agg is None or agg.isEmpty():
-        raise gates.Refused("nothing was measured and nothing is stored; an empty dataset is not written")
-    # the stored tables are inputs of the merge and its target, so it is written elsewhere first
-    agg = staged(agg)
-    raw = staged(raw) if raw is not None else None
-    lost_frame = (carry.lost_distributions(agg, raw) if raw is not None else agg.select("counter_id").distinct())
-    lost = sorted(r["counter_id"] for r in lost_frame.collect())
-    if lost and prior_raw is not None:
+    settled = results.settle(got, dims, selected)
+    agg, lost = settled.agg, settled.lost
+    if lost and settled.had_raw:
         raise gates.Refused(f"counters {lost} have totals but no per-sentence rows")
     if lost:
         notes.append(f"no per-sentence rows for {', '.join(lost)}: their distribution will be blank")
 
-    results.write(agg, "aggregate_counts")
-    if raw is not None:
-        results.write(raw, "raw_counts")
-
-    frames = dict(got.frames)
-    if raw is not None and "envelope_tokens" in raw.columns:
-        for r in measure.carried_envelopes(raw).collect():
-            frames.setdefault(r["counter_id"], r["envelope_tokens"])
+    frames = {**settled.frames, **got.frames}
     probes = {**{c: p for c, p in prior.get("envelope_probe_frames_by_counter", {}).items() if c in kept_counters},
               **got.probes}
     exhausted = sorted(set(got.built) - set(got.ran))
@@ -254,7 +329,7 @@ def measure_pass(results: Results, units: DataFrame, dims: D.Dimensions, builder
         "versions": tables.library_versions(),
         "notes": notes,
     }
-    tables.write_json(spark, manifest, results.path("run_manifest.json"))
+    results.publish(settled, got, dims, selected, manifest)
     if exhausted:
         raise gates.Refused(f"counters {exhausted} were available but produced nothing; their stored rows are stale")
     return manifest

@@ -44,9 +44,9 @@ def _rows(frame, counter=None):
     return sorted(map(tuple, frame.collect()), key=repr)
 
 
-@pytest.fixture
-def results(spark, tmp_path):
-    return L.Results(spark, str(tmp_path / "results"))
+@pytest.fixture(params=[L.Results, L.SnapshotResults])
+def results(spark, tmp_path, request):
+    return request.param(spark, str(tmp_path / "results"))
 
 
 def test_carry_forward_keeps_rows_of_counters_that_cannot_run(spark, results):
