@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from glossmeter.llm.common import SPACES, checked_broadcast, documents
+from glossmeter.llm.common import SPACES, checked_broadcast, documents, free_name
 from glossmeter.stage import staged
 
 WIDTH = 5
@@ -162,9 +162,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radi
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that no item contaminates, with their columns."""
-    bad = staged(contaminated(docs, items).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct())
-    return docs.join(checked_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
+    """Documents that no item contaminates, with their columns, whatever these are called."""
+    own, text = free_name(docs, "_bad_id"), free_name(docs, "_bad_text")
+    bad = staged(contaminated(docs, items).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).distinct())
+    return docs.join(checked_broadcast(bad), F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from glossmeter.llm.common import free_name
 from glossmeter.stage import staged
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
@@ -54,7 +55,12 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
-    """Captures with `blocked`, `n_entries` (active entries that match) and `lists` (their lists, in order)."""
+    """Captures with `blocked`, `n_entries` (active entries that match) and `lists` (their lists, in order).
+
+    These three replace columns of the same names; all others stay, whatever they are called.
+    """
+    own_url, own_day = free_name(captures, "_url"), free_name(captures, "_day")
+    captures = captures.drop(*[c for c in captures.columns if c.lower() in ("blocked", "n_entries", "lists") and c not in (url, day)])
     patterns = staged(validity(entries))
     deep = patterns.agg(
         F.max(F.when(F.col("pattern").startswith("d:"), F.size(F.split("pattern", "[.]")))).alias("labels"),
@@ -65,7 +71,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     hits = (asked.join(patterns, "pattern").select("_url", "_day", F.explode(active["list"]).alias("_list"))
             .groupBy("_url", "_day", "_list").agg(F.count("*").alias("_n"))
             .groupBy("_url", "_day").agg(F.sum("_n").alias("n_entries"), F.array_join(F.sort_array(F.collect_list("_list")), ",").alias("lists")))
-    joined = captures.join(hits, (F.col(url) == F.col("_url")) & (F.col(day) == F.col("_day")), "left").drop("_url", "_day")
+    hits = hits.withColumnsRenamed({"_url": own_url, "_day": own_day})
+    joined = captures.join(hits, (F.col(url) == F.col(own_url)) & (F.col(day) == F.col(own_day)), "left").drop(own_url, own_day)
     return joined.withColumns({"blocked": F.col("n_entries").isNotNull(), "n_entries": F.coalesce("n_entries", F.lit(0)),
                                "lists": F.coalesce("lists", F.lit(""))})
 

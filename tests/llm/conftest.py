@@ -25,7 +25,8 @@ def prose():
             "passage": " ".join(passage), "carriers": [" ".join(t) for t in carriers]}
 
 
-CLASH = "doc_id long, text string, n_chars long, n_words string, shard string, sid string, hash string, toxic string"
+CLASH = ("doc_id long, text string, n_chars long, n_words string, shard string, sid string, hash string, toxic string, _id string, _hash string, "
+         "_spans string, _span_id string, _span_text string, _bad_id string, _bad_text string, _text string, _row string, n_shingles string")
 
 
 @pytest.fixture(scope="session")
@@ -33,7 +34,7 @@ def odd(spark, prose):
     """Nulls, empty, blank and very long texts, repeated rows, and columns named like the operators' own."""
     texts = [(1, None), (2, ""), (3, " \n\t "), (None, prose["base"]), (5, prose["plain"][0]), (5, prose["plain"][0]),
              (6, " ".join(f"v{i % 5000}" for i in range(60_000))), (7, prose["plain"][1].upper()), (8, "two words")]
-    rows = [(i, t, len(t or ""), "a", "b", "c", "d", "e") for i, t in texts]
+    rows = [(i, t, len(t or ""), *"abcdefghijklmno") for i, t in texts]
     return spark.createDataFrame(rows, CLASH)
 
 
