@@ -83,3 +83,33 @@ def measured_on_summary(agg: DataFrame) -> DataFrame:
     text = (F.when(F.size("_d") == 0, "unrecorded").when(F.size("_d") == 1, F.element_at("_d", 1))
             .otherwise(F.concat(F.lit("mixed: "), F.array_join("_d", ", "))))
     return dates.select("counter_id", F.when(F.size("_d") == 0, "unrecorded").otherwise(text).alias("measured_on"))
+
+
+def coverage(rows: DataFrame, configured: Sequence[str], last: str) -> DataFrame:
+    """One row that says what the stored numbers rest on, from one pass over the rows.
+
+    Counters in the dataset, those measured on the date of the last pass and those carried from before it, configured
+    ones without rows, the dates of each counter, corpora and languages, and the languages that a counter lacks somewhere.
+    """
+    stamp = F.coalesce(F.col("measured_on") if "measured_on" in rows.columns else F.lit(None).cast("string"), F.lit("unrecorded"))
+    per = rows.groupBy("counter_id").agg(
+        F.array_join(F.sort_array(F.collect_set(stamp)), "|").alias("dates"), F.bool_or(F.coalesce(stamp == last, F.lit(False))).alias("fresh"),
+        F.collect_set("corpus").alias("corpora"), F.collect_set("lang").alias("langs"), F.count(F.lit(1)).alias("n"),
+        F.count_distinct(F.struct("corpus", "lang")).alias("cells"))
+    name = F.col("counter_id")
+
+    def listed(values):
+        return F.array_join(F.sort_array(values), ",")
+
+    together = per.agg(
+        listed(F.collect_list(name)).alias("counters_in_dataset"), listed(F.collect_list(F.when(F.col("fresh"), name))).alias("counters_measured_last_pass"),
+        listed(F.collect_list(F.when(~F.col("fresh"), name))).alias("counters_carried_forward"),
+        listed(F.collect_list(F.concat(name, F.lit("="), "dates"))).alias("measured_on_by_counter"),
+        F.array_distinct(F.flatten(F.collect_list("corpora"))).alias("_corpora"), F.array_distinct(F.flatten(F.collect_list("langs"))).alias("_langs"),
+        F.collect_list(F.struct(name, "cells")).alias("_cells"), F.collect_list(name).alias("_known"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    whole = F.size("_corpora") * F.size("_langs")
+    return together.select(
+        "counters_in_dataset", "counters_measured_last_pass", "counters_carried_forward",
+        listed(F.array_except(F.array(*[F.lit(c) for c in configured]).cast("array<string>"), "_known")).alias("counters_without_rows"),
+        "measured_on_by_counter", listed(F.col("_corpora")).alias("corpora"), listed(F.col("_langs")).alias("langs"),
+        listed(F.transform(F.filter("_cells", lambda c: c["cells"] < whole), lambda c: c["counter_id"])).alias("counters_with_gaps"), "n_rows")

@@ -405,6 +405,22 @@ _DERIVED = {
         SELECT counter_id, CASE count(DISTINCT measured_on) WHEN 0 THEN 'unrecorded' WHEN 1 THEN min(measured_on)
                ELSE 'mixed: ' || string_agg(DISTINCT measured_on, ', ' ORDER BY measured_on) END AS measured_on
         FROM merged GROUP BY counter_id""",
+    "coverage_block": f"""
+        SELECT string_agg(counter_id, ',' ORDER BY counter_id) AS counters_in_dataset,
+               coalesce(string_agg(counter_id, ',' ORDER BY counter_id) FILTER (WHERE fresh), '') AS counters_measured_last_pass,
+               coalesce(string_agg(counter_id, ',' ORDER BY counter_id) FILTER (WHERE NOT fresh), '') AS counters_carried_forward,
+               coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT counter_id AS c FROM counters UNION SELECT 'utf32-partial')
+                         WHERE c NOT IN (SELECT counter_id FROM merged)), '') AS counters_without_rows,
+               string_agg(counter_id || '=' || dates, ',' ORDER BY counter_id || '=' || dates) AS measured_on_by_counter,
+               (SELECT string_agg(DISTINCT corpus, ',' ORDER BY corpus) FROM merged) AS corpora,
+               (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM merged) AS langs,
+               coalesce(string_agg(counter_id, ',' ORDER BY counter_id) FILTER (WHERE cells < whole), '') AS counters_with_gaps,
+               CAST(sum(n) AS BIGINT) AS n_rows, {dims.PUBLISHED_TOLERANCE}::DOUBLE AS oracle_tolerance,
+               (SELECT max(abs(delta)) FROM ({_DELTA})) AS oracle_max_abs_delta, (SELECT bool_and(passes) FROM ({_DELTA})) AS oracle_passes
+        FROM (SELECT counter_id, string_agg(DISTINCT coalesce(measured_on, 'unrecorded'), '|' ORDER BY coalesce(measured_on, 'unrecorded')) AS dates,
+                     bool_or(coalesce(measured_on = '2026-10-19', false)) AS fresh, count(*) AS n, count(DISTINCT corpus || ',' || lang) AS cells,
+                     (SELECT count(DISTINCT corpus) * count(DISTINCT lang) FROM merged) AS whole
+              FROM merged GROUP BY counter_id)""",
     "canonical_order": "SELECT corpus, counter_id, lang, row_number() OVER (ORDER BY corpus, counter_id, lang) AS pos FROM agg",
     "coverage_gap": """
         SELECT x.corpus, x.counter_id, l.lang FROM (SELECT DISTINCT corpus, counter_id FROM content_ragged) x, languages l

@@ -382,6 +382,15 @@ def measured_on_summary(w: Workload) -> DataFrame:
     return carry.measured_on_summary(_merged(w))
 
 
+@query
+def coverage_block(w: Workload) -> DataFrame:
+    """What the merged totals rest on, and whether the check against published premiums passes."""
+    deltas = oracle_delta(w).agg(F.max(F.abs("delta")).alias("oracle_max_abs_delta"), F.bool_and("passes").alias("oracle_passes"))
+    block = carry.coverage(_merged(w), [*W.DIMS.counter_ids(), "utf32-partial"], W.MEASURED_ON)
+    return block.select("*", F.lit(dims.PUBLISHED_TOLERANCE).alias("oracle_tolerance"),
+                        deltas.select("oracle_max_abs_delta").scalar().alias("oracle_max_abs_delta"), deltas.select("oracle_passes").scalar().alias("oracle_passes"))
+
+
 @query
 def canonical_order(w: Workload) -> DataFrame:
     """Place of every aggregate row in the written table (few rows, fixed by the configuration)."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import platform
+import re
 from collections.abc import Mapping, Sequence
 from importlib import metadata
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glossmeter.dims import MASK
 from glossmeter.operators.indexing import number_rows
-from glossmeter.sources.lines import _present
+from glossmeter.sources.lines import _present, read_lines
+from glossmeter.stage import small, staged
 
 RAW_SCHEMA = ("corpus string, counter_id string, lang string, spec string, measured_on string, "
               "sentence_idx bigint, n_tokens bigint, n_tokens_content bigint, envelope_tokens bigint, n_chars bigint")
@@ -43,9 +45,20 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Records of JSON-lines files; ``pos`` rises in file order, which settles repeated ids."""
-    lines = spark.read.text(list(paths)).select("value", F.monotonically_increasing_id().alias("pos"))
-    return parse_records(lines)
+    """Records of JSON-lines files; ``pos`` settles repeated ids: the last one wins.
+
+    Order is that of the files, as they are named and by name inside a folder, and of the lines in them,
+    however the reader packs files into splits. Only names of files and a row per split are put together.
+    """
+    lines = read_lines(spark, list(paths))
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    named = [(i, re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", p).rstrip("/")) for i, p in enumerate(paths)]
+    given = F.least(*[F.when((plain == p) | plain.startswith(f"{p}/"), i) for i, p in named], F.lit(len(named)), F.lit(len(named)))
+    files = staged(lines.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("given", given))
+    before = F.sum("n").over(Window.orderBy("given", "path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = staged(files.select("path", F.coalesce(before, F.lit(0)).alias("_start")))
+    rows = lines.join(small(starts), "path").select(F.col("text").alias("value"), (F.col("_start") + F.col("line_idx")).alias("pos"))
+    return parse_records(rows)
 
 
 def read_csv_optional(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

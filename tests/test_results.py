@@ -213,3 +213,12 @@ def test_gates_name_offenders(spark):
         gates.require_finite(df, "v", ["k"])
     gates.require_finite(df.where("k = 'a'"), "v", ["k"])
     assert {r.k for r in gates.duplicates(df.unionByName(df.where("k = 'a'")), ["k"]).collect()} == {"a"}
+
+
+def test_coverage_in_one_pass(spark):
+    from glossmeter.operators import carry
+    rows = [("c", "a", "x", "d2"), ("c", "a", "y", "d2"), ("d", "a", "x", "d1"), ("d", "a", "y", "d1"), ("c", "b", "x", None), ("d", "b", "x", "d1")]
+    got = carry.coverage(spark.createDataFrame(rows, "corpus string, counter_id string, lang string, measured_on string"), ["a", "b", "z"], "d2").first().asDict()
+    assert got == {"counters_in_dataset": "a,b", "counters_measured_last_pass": "a", "counters_carried_forward": "b", "counters_without_rows": "z",
+                   "measured_on_by_counter": "a=d1|d2,b=d1|unrecorded", "corpora": "c,d", "langs": "x,y", "counters_with_gaps": "b", "n_rows": 6}
+    assert carry.coverage(spark.createDataFrame([], "corpus string, counter_id string, lang string"), ["a"], "d").first()["n_rows"] == 0

@@ -1,5 +1,6 @@
 """Corpus files, result tables, parity tables, slices."""
 
+import json
 import os
 
 import pytest
@@ -183,7 +184,6 @@ def test_slice_keeps_last_clean_duplicate_in_every_locale(spark):
 
 
 def test_parallel_corpus_from_json_lines(spark, tmp_path):
-    import json
     for loc in ("en", "de"):
         rows = [{"id": str(i), "locale": loc, "partition": "dev", "utt": f"{loc} {i}"} for i in (11, 2, 1) if (loc, i) != ("de", 1)]
         _write(tmp_path / f"{loc}.jsonl", "\n".join(map(json.dumps, rows)).encode())
@@ -193,6 +193,27 @@ def test_parallel_corpus_from_json_lines(spark, tmp_path):
     assert sorted((r.lang, r.value) for r in back) == [("de", "de 11"), ("de", "de 2"), ("en", "en 11"), ("en", "en 2")]
 
 
+def test_the_last_record_wins_whatever_order_files_are_read_in(spark, tmp_path):
+    """Spark packs large files first; the order is that of the files as they are named."""
+    def file(name, n, word):
+        rows = [{"id": str(i), "locale": "en", "partition": "dev", "utt": f"{word} {i} " + "x" * 200} for i in range(n)]
+        _write(tmp_path / name, "\n".join(map(json.dumps, rows)).encode())
+        return str(tmp_path / name)
+    small, large = file("b.jsonl", 3, "small"), file("a.jsonl", 4000, "large")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        for paths, last in (([small, large], "large"), ([large, small], "small"), ([str(tmp_path)], "small")):
+            rows = tables.read_records(spark, paths).where("id in ('0', '2', '9')").collect()
+            won = {}
+            for r in sorted(rows, key=lambda r: r.pos):
+                won[r.id] = r.utt.split()[0]
+            assert won == {"0": last, "2": last, "9": "large"}, paths
+            assert len({r.pos for r in rows}) == len(rows) == 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_parity_tables_with_a_model_file(spark, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
     tok = Tokenizer(models.WordLevel({"[UNK]": 0, "one": 1, "two": 2}, unk_token="[UNK]"))
