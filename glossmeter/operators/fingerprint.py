@@ -8,11 +8,13 @@ level is an aggregation over at most ``2**FANOUT_BITS`` digests per group.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glossmeter.counters import joined_text
+from glossmeter.counters import order_key
 
 FANOUT_BITS = 14
 LEVELS = 3      # 2**42 sentences per language
@@ -47,13 +49,38 @@ def corpus_fingerprints(digests: DataFrame, languages: Sequence[str]) -> DataFra
 
 
 def flat_fingerprints(units: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """SHA-256 in the flat layout of earlier manifests: ``lang NUL lines NUL`` per language.
+    """(corpus, sha256) in the flat layout of earlier manifests: ``lang NUL lines NUL`` per language.
 
-    Only for comparing with such a manifest. A language has to fit one row, so joined_text
-    refuses corpora over its limit; the tree fingerprint has no such bound.
+    Only for comparing with such a manifest. A running hash can't be put together from parts, so the sentences
+    of a corpus stream through one task in order; it holds the hash and no text, however long the corpus is.
     """
-    joined = joined_text(units.where(F.col("lang").isin(list(languages))), sep="\n")
+    order = order_key(units)
     place = F.array_position(F.array(*[F.lit(l) for l in languages]), F.col("lang"))
-    part = F.concat(F.col("lang"), F.lit("\0"), F.col("text"), F.lit("\0"))
-    parts = F.array_sort(F.collect_list(F.struct(place.alias("at"), part.alias("part"))))
-    return joined.groupBy("corpus").agg(F.sha2(F.array_join(parts["part"], ""), 256).alias("sha256"))
+    rows = (units.where(F.col("lang").isin(list(languages))).select("corpus", place.alias("place"), order, "text")
+            .repartition("corpus").sortWithinPartitions("corpus", "place", order).select("corpus", "place", "text"))
+    names = [l.encode() for l in languages]
+
+    def run(batches):
+        corpus, at, running = None, None, None
+
+        def closed():
+            running.update(b"\0")
+            return pa.RecordBatch.from_arrays([pa.array([corpus]), pa.array([running.hexdigest()])], names=["corpus", "sha256"])
+
+        for batch in batches:
+            for name, place, text in zip(*(c.to_pylist() for c in batch.columns)):
+                line = (text or "").encode()
+                if name != corpus:
+                    if running is not None:
+                        yield closed()
+                    corpus, at, running = name, place, hashlib.sha256(names[place - 1] + b"\0")
+                elif place != at:
+                    at = place
+                    running.update(b"\0" + names[place - 1] + b"\0")
+                else:
+                    running.update(b"\n")
+                running.update(line)
+        if running is not None:
+            yield closed()
+
+    return rows.mapInArrow(run, "corpus string, sha256 string")

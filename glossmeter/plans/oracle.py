@@ -350,6 +350,10 @@ _DERIVED = {
         SELECT corpus, CAST(max(n) FILTER (WHERE lang = 'en') AS BIGINT) AS n_sentences,
                sha256(string_agg(lang || ':' || n || ':' || d, '|' ORDER BY list_position([{_LANGS}], lang))) AS fingerprint
         FROM tree3 GROUP BY corpus""",
+    "flat_fingerprint": """
+        SELECT corpus, sha256(string_agg(lang || chr(0) || lines || chr(0), '' ORDER BY ord)) AS sha256 FROM (
+          SELECT corpus, lang, string_agg(text, chr(10) ORDER BY sentence_idx) AS lines FROM units GROUP BY corpus, lang)
+        JOIN (SELECT lang, list_position(['en', 'de', 'fr', 'es'], lang) AS ord FROM languages) USING (lang) GROUP BY corpus""",
     "fingerprint_gate": "SELECT corpus, bool_or(d <> before) AS changed FROM leaf GROUP BY corpus",
     "joined_count": "SELECT corpus, lang, words, utf32, utf8 FROM joined_counts",
     "aggregate_counts": "SELECT * FROM agg",

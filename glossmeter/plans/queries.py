@@ -89,6 +89,11 @@ def corpus_fingerprint(w: Workload) -> DataFrame:
     return fingerprint.corpus_fingerprints(leaves, list(DIMS.languages))
 
 
+@query
+def flat_fingerprint(w: Workload) -> DataFrame:
+    return fingerprint.flat_fingerprints(w.units, list(DIMS.languages))
+
+
 @query
 def fingerprint_gate(w: Workload) -> DataFrame:
     # the recorded version of one register had another ending
