@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,12 +30,29 @@ def stage_dir(spark: SparkSession) -> str:
     return _local[app].name
 
 
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are staged inside, at the end. What is built on them has to be written by then."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """Write a frame once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors, and saves a second pass over the text.
     """
     path = f"{stage_dir(frame.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if _scratches:
+        _scratches[-1].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -52,10 +71,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(parts), key) if parts else rows
 
 
-#: Rows of a small table that a join may broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes as Spark estimates them from the files, of a small table that a join may broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+
 
+def small(frame: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if it is small by rows and by bytes; else Spark joins by a shuffle.
 
-def small(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if it has at most ``most`` rows; else Spark joins by a shuffle."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+    The rows of the result are the same.
+    """
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(frame) if size <= most_bytes and frame.limit(most + 1).count() <= most else frame

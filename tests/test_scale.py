@@ -69,3 +69,26 @@ def test_sql_carries_only_the_steps_it_needs():
 def test_corpora_and_places_name_the_same_things(spark, places):
     with pytest.raises(KeyError):
         lines.load_corpora(spark, places, ["a", "b"], ["x"])
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from glossmeter.stage import small, staged
+    rows = staged(spark.range(1000).selectExpr("id", "repeat(uuid(), 20) AS text"))
+    hinted = lambda frame: "broadcast" in frame._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(small(rows)) and not hinted(rows)
+    assert not hinted(small(rows, most=999)) and not hinted(small(rows, most_bytes=1000))
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    import os
+
+    from glossmeter.stage import scratch, stage_dir, staged
+    kept = staged(spark.range(3))
+    before = set(os.listdir(stage_dir(spark)))
+    with scratch(spark):
+        inside = staged(spark.range(5))
+        with scratch(spark):
+            staged(spark.range(7))
+        inside.write.parquet(f"{tmp_path}/out")
+    assert set(os.listdir(stage_dir(spark))) == before
+    assert kept.count() == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 5
