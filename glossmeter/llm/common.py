@@ -11,10 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossmeter.session import ship
-from glossmeter.stage import staged
-
-#: Rows of a table of ids that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+from glossmeter.stage import small, staged
 
 #: Documents that one step of a batch function holds as arrays at once, and the bytes it may hold.
 STEP_ROWS, STEP_BYTES = 2048, 8 << 20
@@ -106,12 +103,8 @@ def over_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.
     return frame.mapInArrow(run, schema)
 
 
-def checked_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged table of a few narrow columns for broadcast if it has at most `most` rows.
-
-    Otherwise Spark joins it by a shuffle; the rows of the result are the same.
-    """
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+#: Mark a staged table for broadcast if it is small by rows and bytes; otherwise Spark joins it by a shuffle.
+checked_broadcast = small
 
 
 def free_name(frame: DataFrame, name: str) -> str:

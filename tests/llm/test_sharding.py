@@ -1,6 +1,4 @@
-import zlib
-
-import pytest
+import random
 
 from glossmeter.llm import sharding as S
 from pyspark.sql import functions as F
@@ -40,3 +38,21 @@ def test_plan_has_no_python(spark, odd):
     rows = odd.select("doc_id", F.xxhash64(text).alias("_t"), F.xxhash64("doc_id").alias("_d"), text.alias("t"))
     plan = S.histogram_sort(rows, [F.col("_t"), F.col("_d")], F.octet_length("t").cast("long"), 3)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_splitters_against_a_full_sort(spark):
+    """Shards are stretches of the sorted keys, cut at the row nearest to each target, ties and huge rows included."""
+    rng = random.Random(3)
+    rows = [(rng.choice([-2 ** 63, -1, 0, 5, 2 ** 63 - 1, rng.randint(-2 ** 63, 2 ** 63 - 1)]), rng.randint(-5, 5), rng.choice([1, 8, 9, 50, 4000])) for _ in range(700)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, a long, b long, n long").repartition(3)
+    got = {r["doc_id"]: r["shard"] for r in S.histogram_sort(docs, [F.col("a"), F.col("b")], F.col("n"), 7, tolerance=0.0).collect()}
+    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    shards = [got[i] for i in order]
+    # rows of equal keys may be cut in any order among them
+    for i, j in zip(order, order[1:]):
+        assert rows[i][:2] == rows[j][:2] or got[i] <= got[j]
+    total, size = sum(r[2] for r in rows), [0] * 7
+    for i, s in zip(order, shards):
+        size[s] += rows[i][2]
+    for k in range(1, 7):
+        assert abs(sum(size[:k]) - total * k // 7) <= 2000        # half of the largest row

@@ -37,3 +37,34 @@ def test_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(5, 1, 1), (5, None, 0), (99, 0, 0), (None, 1, 1), (1, 1, None)], none.schema)
     assert T.sample(odd, labels).count() == 4                # two rows of document 5, two labels
     assert T.severity(nothing.select("doc_id", "text"), None, ["doc_id"]).count() == 0
+
+
+def test_fit_against_numeric_gradients():
+    """At the fitted parameters, the gradient of the objective by differences is near zero, and steps along it gain nothing."""
+    rng = np.random.default_rng(5)
+    grades = np.arange(600) % 3
+    rows = [np.unique(np.concatenate([rng.integers(0, 12, 3), np.flatnonzero(rng.random(3) < 0.1 + 0.3 * g) + 12])) for g in grades]
+    model = T.fit(rows, grades, buckets=20)
+    used = np.flatnonzero(model.weights)
+    assert len(used) >= 2
+    weight = 1 / np.bincount(grades)[grades]
+    weight /= weight.sum()
+    given = np.array([[b in r for b in used] for r in rows], float)
+
+    def objective(p):
+        cuts = p[len(used)] + np.concatenate(([0], np.cumsum(np.exp(p[len(used) + 1:]))))
+        up = 1 / (1 + np.exp(-((given @ p[:len(used)])[:, None] - cuts)))
+        edge = np.concatenate([np.ones((len(rows), 1)), up, np.zeros((len(rows), 1))], 1)
+        here = np.arange(len(rows))
+        return -(weight * np.log(edge[here, grades] - edge[here, grades + 1])).sum() + 0.5 * T.PENALTY * (p[:len(used)] ** 2).sum()
+
+    def slope(p):
+        return np.array([(objective(p + h) - objective(p - h)) / 2e-5 for h in 1e-5 * np.eye(len(p))])
+
+    p = np.concatenate([model.weights[used], [model.cuts[0]], np.log(np.diff(model.cuts))])
+    start = np.zeros_like(p)
+    assert np.abs(slope(p)).max() < 0.1 * np.abs(slope(start)).max()
+    better = p.copy()
+    for _ in range(300):
+        better -= 0.5 * slope(better)
+    assert objective(p) < objective(start) and objective(p) - objective(better) < 0.002 * objective(start)
