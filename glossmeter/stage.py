@@ -35,7 +35,7 @@ _scratches: list[list[str]] = []
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that are staged inside, at the end. What is built on them has to be written by then."""
+    """Remove the tables that are staged inside, at the end. What is built on them has to be written or kept by then."""
     _scratches.append([])
     try:
         yield
@@ -45,14 +45,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def staged(frame: DataFrame) -> DataFrame:
+def staged(frame: DataFrame, keep: bool = False) -> DataFrame:
     """Write a frame once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors, and saves a second pass over the text.
+    keep: the table outlives the scratch it is written in and belongs to the one around it, if any.
     """
     path = f"{stage_dir(frame.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    if _scratches:
-        _scratches[-1].append(path)
+    owner = _scratches[:-1] if keep else _scratches
+    if owner:
+        owner[-1].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -90,5 +90,8 @@ def test_scratch_tables_are_removed(spark, tmp_path):
         with scratch(spark):
             staged(spark.range(7))
         inside.write.parquet(f"{tmp_path}/out")
+        with scratch(spark):
+            outer = staged(staged(spark.range(9)).where("id > 1"), keep=True)
+        assert outer.count() == 7
     assert set(os.listdir(stage_dir(spark))) == before
     assert kept.count() == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 5
