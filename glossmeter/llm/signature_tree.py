@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossmeter.llm.common import as_bytes, checked_broadcast, components, documents, free_name, mix, over_batches, shingle_hashes, steps, word_hashes
-from glossmeter.stage import staged
+from glossmeter.stage import scratch, staged
 
 WIDTH = 3
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -463,14 +463,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def groups_of(docs: DataFrame, width: int, percent: int, *keep: str) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and (sid, _group) of those that are linked."""
-    found = staged(sets(docs, width, percent, *keep))
-    trees = staged(components(connected(staged(telling_keys(found)))))
-    chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-              .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
-    members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
-    close = staged(leader_links(members, percent))
-    links = close.select(F.col("sid").alias("a"), F.col("tree").alias("b")).unionByName(other_links(members, close, percent))
-    return found, staged(components(links).select(F.col("node").alias("sid"), F.col("component").alias("_group")))
+    with scratch(docs.sparkSession):                        # keys and tokens go as soon as the links are known
+        wide = staged(sets(docs, width, percent, *keep))
+        found = staged(wide.drop("keys"), keep=True)
+        trees = staged(components(connected(staged(telling_keys(wide)))))
+        chosen = (found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+                  .join(trees.select(F.col("node").alias("sid")), "sid", "left_semi"))
+        members = staged(tokens_of(docs, chosen, width).join(trees.select(F.col("node").alias("sid"), F.col("component").alias("tree")), "sid"))
+        close = staged(leader_links(members, percent))
+        links = close.select(F.col("sid").alias("a"), F.col("tree").alias("b")).unionByName(other_links(members, close, percent))
+        joined = staged(components(links).select(F.col("node").alias("sid"), F.col("component").alias("_group")), keep=True)
+    return found, joined
 
 
 def join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
