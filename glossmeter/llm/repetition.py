@@ -16,14 +16,11 @@ one; texts of any length are taken whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossmeter.llm.common import as_bytes, documents, mix, over_batches, steps, word_hashes
+from glossmeter.llm.common import as_bytes, documents, mix, over_batches, text_steps, word_hashes
 
 MIN_WORDS = 10
 BASE_WINDOW, BASE_SHARE = 5, 20
@@ -170,9 +167,8 @@ def quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), MEASURES])
 
     def work(batch: pa.RecordBatch):
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        for a, b in steps(texts):
-            found = measure(texts[a:b])
+        for a, b, texts in text_steps(batch.column(batch.num_columns - 1)):
+            found = measure(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))),
                                               *map(pa.array, found.values())], names=[*keep, *found])
 
@@ -190,17 +186,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     place = [n.lower() for n in names].index("text")
 
     def work(batch: pa.RecordBatch):
-        texts = batch.column(place)
-        for a, b in _ranges(texts):
-            # a few texts at a time, so that a batch is not held a second time
-            kept = measure(texts.slice(a, b - a).cast(pa.binary()).to_pylist())["kept"]
-            yield batch.slice(a, b - a).filter(pa.array(kept))
+        for a, b, texts in text_steps(batch.column(place).cast(pa.binary())):
+            yield batch.slice(a, b - a).filter(pa.array(measure(texts)["kept"]))
 
     kept = over_batches(safe, work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in safe.schema))
     return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
-
-def _ranges(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows as of steps(), by the lengths of the texts."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    return steps([range(n) for n in size.tolist()])
