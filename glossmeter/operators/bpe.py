@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
@@ -268,19 +269,32 @@ def _offsets(sizes) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
+#: Bytes of the texts that are aligned together.
+ALIGNED_BYTES = 1 << 20
+
+
+def _parts(texts: pa.Array, most: int = ALIGNED_BYTES) -> Iterator[pa.Array]:
+    """A batch in parts of so many bytes; a text over the limit is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield texts.slice(at, stop - at)
+        at, done = stop, int(ends[stop - 1])
+
+
 def align_column(ranks: _Ranks, pattern: str = SPLIT_PATTERN) -> Callable[[Column], Column]:
     """Whole texts to their aligned (tokens, text) groups."""
     @F.arrow_udf(ALIGNED)
     def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = _Aligner(_encoding(ranks, pattern))
-        for batch in batches:
+        for texts in (part for batch in batches for part in _parts(batch)):
             aligner.forget()
-            parts = [aligner.groups(s or "") for s in batch.to_pylist()]
+            parts = [aligner.groups(s or "") for s in texts.to_pylist()]
             none = np.zeros(0, dtype=np.int64)
             ids, sizes, codes = (np.concatenate([p[k] for p in parts] or [none]) for k in range(3))
             tokens = pa.ListArray.from_arrays(_offsets(sizes), pa.array(ids))
-            texts = aligner.texts_of(codes)
-            groups = pa.StructArray.from_arrays([tokens, texts], ["tokens", "text"])
+            groups = pa.StructArray.from_arrays([tokens, aligner.texts_of(codes)], ["tokens", "text"])
             yield pa.ListArray.from_arrays(_offsets([len(p[1]) for p in parts]), groups)
     return aligned
 

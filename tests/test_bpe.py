@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -114,6 +115,15 @@ def test_alignment_matches_the_buffering_rule(spark, ranks, shared):
         assert bpe.align(_encode(texts[r.i], ranks), decode) == want
 
 
+def test_alignment_takes_a_large_batch_in_parts(spark, shared):
+    texts = pa.array([None, "", *[f"many words of text {k} " * 40 for k in range(3000)], "long one " * 300_000])
+    parts = [*bpe.align_column(shared).func(iter([texts]))]
+    assert sum(map(len, parts)) == len(texts)
+    assert max(p.nbytes for p in parts[:-1]) < 40 << 20 and len(parts) > 3
+    joined = [None if g is None else "".join(x["text"] for x in g) for p in parts for g in p.to_pylist()]
+    assert joined == [t or "" for t in texts.to_pylist()]
+
+
 def test_examples_and_latex(spark, shared):
     g = bpe.align_column(shared)("text")
     df = _texts(spark, ["é x"]).select("text", g.alias("g"))
