@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from glossmeter.llm.common import documents, over_batches, steps
+from glossmeter.llm.common import documents, over_batches, text_steps
 from glossmeter.llm.encoding import default_tokenizer, encoder
 from glossmeter.stage import staged
 
@@ -203,11 +203,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFra
         seen, part = np.zeros(window + 1, np.int64), None
         cut = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
             part = batch.column(2)[0].as_py() >> 33 if part is None and len(ids) else part
-            for a, b in steps(texts):
+            for a, b, texts in text_steps(batch.column(1)):
                 out = [[] for _ in range(6)]
-                for doc, packed in zip(ids[a:b], cut.encode([(t or "") for t in texts[a:b]])):
+                for doc, packed in zip(ids[a:b], cut.encode([(t or "") for t in texts])):
                     packed += tail
                     total = len(packed) // 4
                     for start in range(0, total, window):
