@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -23,6 +24,15 @@ def test_encoder_equals_the_library(prose, spans):
             assert got == np.array(want.ids, "<u4").tobytes(), text
 
 
+def test_a_word_is_encoded_once_whatever_follows_it():
+    rng, own, plain = random.Random(3), Encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    own.encode(["a wonderful, b wonderful. c wonderful's d wonderful\nThe wonderful"])
+    assert [w for w in own.word_ids if w.startswith("wonder")] == ["wonderful"]
+    odd = ["naïve²,x aΩ, ǅ é.é ×a ÷, b's 12,3a", *("".join(rng.choices(" \n\tab'sé×.,-1²Ω日\u0301 \x1c", k=rng.randrange(1, 14))) for _ in range(3000))]
+    for text, got in zip(odd, own.encode(odd)):
+        assert got == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def rebuild(rows, texts):
     """Check that every id lies in one piece and sequences are whole; the padding."""
     plain, docs, sequences = Tokenizer.from_file(default_tokenizer()), defaultdict(list), defaultdict(list)
