@@ -95,3 +95,18 @@ def test_scratch_tables_are_removed(spark, tmp_path):
         assert outer.count() == 7
     assert set(os.listdir(stage_dir(spark))) == before
     assert kept.count() == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_shuffle_files_of_finished_writes_are_swept(spark):
+    import time
+
+    from glossmeter.stage import staged, sweep
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: disk.getAllFiles().mkString("\n").count("/shuffle_")
+    kept = staged(spark.range(100_000).repartition(7, "id"))
+    before, until = held(), time.time() + 20
+    assert before
+    sweep(spark)
+    while held() >= before and time.time() < until:
+        time.sleep(0.2)
+    assert held() < before and kept.count() == 100_000
