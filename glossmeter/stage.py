@@ -47,17 +47,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def staged(frame: DataFrame, keep: bool = False) -> DataFrame:
+def staged(frame: DataFrame, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write a frame once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors, and saves a second pass over the text.
     keep: the table outlives the scratch it is written in and belongs to the one around it, if any.
+    by: a column with a folder for each of its values.
     """
     path = f"{stage_dir(frame.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     owner = _scratches[:-1] if keep else _scratches
     if owner:
         owner[-1].append(path)
-    frame.write.parquet(path)
+    (frame.write.partitionBy(by) if by else frame.write).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

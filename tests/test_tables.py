@@ -256,3 +256,18 @@ def test_codec_unknown_marks():
     assert len(D.PARITY_TOKENIZERS) == 27
     named = set(tokenizers.HF_MODELS) | set(tokenizers.TIKTOKEN_NAMES) | {"SeamlessM4T", "UTF-32"}
     assert named == set(D.PARITY_TOKENIZERS)
+
+
+def test_a_flat_fingerprint_goes_on_from_part_to_part(spark, monkeypatch):
+    """No task goes through more than some of the parts, and the digest is that of the whole."""
+    import hashlib
+    rows = [(c, l, i, f"{c}{l}{i}é" * (i % 7)) for c in "cd" for l in "xy" for i in range(60)]
+    units = spark.createDataFrame([*rows, ("c", "x", 60, None), ("c", "z", 0, "left out")], "corpus string, lang string, sentence_idx bigint, text string").repartition(5)
+    made, real = [], fingerprint.staged
+    monkeypatch.setattr(fingerprint, "staged", lambda frame, **more: made.append(real(frame, **more)) or made[-1])
+    got = {r.corpus: r.sha256 for r in fingerprint.flat_fingerprints(units, ["x", "y"], part_bytes=500).collect()}
+    want = {c: hashlib.sha256(b"".join(l.encode() + b"\0" + "\n".join([t for k, m, _, t in rows if (k, m) == (c, l)] + [""] * ((c, l) == ("c", "x"))).encode()
+                                       + b"\0" for l in "xy")).hexdigest() for c in "cd"}
+    assert got == want
+    assert max(r["count"] for r in made[0].groupBy("part").count().collect()) < 60
+    assert fingerprint.flat_fingerprints(units.limit(0), ["x", "y"]).count() == 0
