@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from glossmeter.counters import TextCounter, order_key
+from glossmeter.stage import staged
 
 #: Made once per task: the split pattern, and a function from a piece to its number of tokens.
 Splitter = Callable[[], tuple[str, Callable[[str], int]]]
@@ -46,22 +47,28 @@ class Run:
     right: str | None = None
 
 
+class Counts(dict):
+    """piece -> its tokens, filled as pieces are met."""
+
+    def __init__(self, count: Callable[[str], int]):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.count(piece)
+        return n
+
+
 class Joiner:
     """Summarises and merges runs for one split pattern."""
 
     def __init__(self, pattern: str, count: Callable[[str], int], sep: str = " "):
-        self.pattern, self.count, self.sep, self.known = regex.compile(pattern), count, sep, {}
+        self.pattern, self.sep, self.known = regex.compile(pattern), sep, Counts(count)
 
     def tokens(self, pieces: Iterable[str]) -> int:
-        total, known = 0, self.known
-        for piece in pieces:
-            n = known.get(piece)
-            if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                n = known[piece] = self.count(piece)
-            total += n
-        return total
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        return sum(map(self.known.__getitem__, pieces))
 
     def matches(self, text: str, at: int = 0) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(text, at) if m.end() > m.start()]
@@ -70,23 +77,45 @@ class Joiner:
         """The last piece with a visible character; 0 if there is none."""
         return next((k for k in range(len(spans) - 1, -1, -1) if text[slice(*spans[k])].strip()), 0)
 
-    def run(self, sentence: str) -> Run:
-        text = self.sep + sentence
-        entries = len(text) - len(text.lstrip())            # the piece before may end behind any white space
-        spans = self.matches(text)
-        place = {start: k for k, (start, _) in enumerate(spans)}
-        safe = next((k for k, (start, _) in enumerate(spans) if start > entries), None)
+    def pieces(self, text: str, at: int) -> list[str]:
+        found = self.pattern.findall(text, at) if not self.pattern.groups else [m.group() for m in self.pattern.finditer(text, at)]
+        return [*filter(None, found)]
+
+    def safe_start(self, text: str, entries: int) -> int | None:
+        """The first place at which every way of entering has begun a piece; only the beginning of the text is split."""
+        met, ahead = [], (m.start() for m in self.pattern.finditer(text) if m.end() > m.start())
+        safe = next((s for s in ahead if met.append(s) or s > entries), None)
         for entry in range(1, entries + 1):
             if safe is None:
                 break
-            met = next((place[m.start()] for m in self.pattern.finditer(text, entry) if m.start() > entries and m.start() in place), None)
-            safe = None if met is None else max(safe, met)
-        last = self.last_visible(text, spans)
-        if safe is None or safe >= last:
+            for m in self.pattern.finditer(text, entry):
+                if m.start() > entries:
+                    while met[-1] < m.start() and (more := next(ahead, None)) is not None:
+                        met.append(more)
+                    if m.start() in met:
+                        safe = max(safe, m.start())
+                        break
+            else:
+                safe = None
+        return safe
+
+    def run(self, sentence: str) -> Run:
+        text = self.sep + sentence
+        entries = len(text) - len(text.lstrip())            # the piece before may end behind any white space
+        begin = self.safe_start(text, entries)
+        if begin is None:
+            return Run(sentence)
+        pieces = self.pieces(text, begin)
+        last = next((k for k in range(len(pieces) - 1, -1, -1) if pieces[k].strip()), 0)
+        if not last:
             return Run(sentence)
-        begin, end = spans[safe][0], spans[last][0]
-        ahead = text[begin:spans[min(safe + 1, len(spans) - 1)][1]]
-        return Run(text[len(self.sep):begin], ahead, self.tokens(text[a:b] for a, b in spans[safe:last]), text[end:])
+        size = sum(map(len, pieces))
+        if begin + size == len(text):                       # the pieces are all of the text
+            second, end = begin + len(pieces[0]) + len(pieces[1]), len(text) - sum(map(len, pieces[last:]))
+        else:
+            spans = self.matches(text, begin)
+            second, end = spans[1][1], spans[last][0]
+        return Run(text[len(self.sep):begin], text[begin:second], self.tokens(pieces[:last]), text[end:])
 
     def _until(self, text: str, ahead: str) -> int:
         """Tokens of a text whose end is known to begin a piece."""
@@ -159,8 +188,9 @@ def joined_totals(units: DataFrame, splitter: Splitter, sep: str = " ") -> DataF
             held = part if held is None else joiner.merge(held, part)
         return pd.DataFrame({"corpus": found["corpus"].iloc[:1], "lang": found["lang"].iloc[:1], "total": [joiner.total(held)]})
 
-    ends = (units.select(F.col("corpus").cast("string").alias("corpus"), F.col("lang").cast("string").alias("lang"), F.col(order).cast("long").alias("at"), "text")
-            .mapInArrow(summarise, f"corpus string, lang string, at long, {RUN}"))
+    # written, as dealing out by ranges looks at its input twice, and the texts are to be split once
+    ends = staged(units.select(F.col("corpus").cast("string").alias("corpus"), F.col("lang").cast("string").alias("lang"), F.col(order).cast("long").alias("at"), "text")
+                  .mapInArrow(summarise, f"corpus string, lang string, at long, {RUN}"))
     folded = (ends.repartitionByRange("corpus", "lang", "at").sortWithinPartitions("corpus", "lang", "at")
               .mapInArrow(fold, f"corpus string, lang string, {RUN}").withColumn("part", F.spark_partition_id()))
     return folded.groupBy("corpus", "lang").applyInPandas(finish, "corpus string, lang string, total long")

@@ -124,3 +124,19 @@ def test_trace_table(spark):
     ranks = bpe.share(spark, {bytes([b]): b for b in range(256)} | {b"ab": 256})
     rows = merges.merge_traces(spark.createDataFrame([("abab",), ("é",)], "piece string"), ranks).collect()
     assert {(r.piece, r.n_bytes, tuple(map(tuple, r.drops))) for r in rows} == {("abab", 4, ((256, 2),)), ("é", 2, ())}
+
+
+def test_texts_are_split_once(spark):
+    """Dealing out by ranges looks at its input twice; what it looks at is a written table."""
+    units = spark.createDataFrame([("c", "x", i, "one two three") for i in range(50)], "corpus string, lang string, sentence_idx long, text string")
+    found = joined.joined_totals(units, lambda: (PATTERNS["spaces"], len))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.first().total == 50 * 14 - 1
+
+
+def test_only_the_beginning_of_a_text_is_split_for_its_safe_place():
+    joiner = joined.Joiner(PATTERNS["breaks"], len)
+    made, real = [], joiner.pattern
+    joiner.pattern = type("Seen", (), {"groups": 0, "findall": real.findall, "finditer": lambda self, *at: (made.append(m) or m for m in real.finditer(*at))})()
+    run = joiner.run("some words in a line " * 1000)
+    assert len(made) < 10 and run.tokens > 20_000
