@@ -70,16 +70,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.cuts, -40, 40)))
 
 
+def rows_with(rows: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Rows that have each bucket; a part of the rows at a time, so that all are not held a second time."""
+    out = np.zeros(buckets, np.int64)
+    for i in range(0, len(rows), 1000):
+        out += np.bincount(np.concatenate(rows[i:i + 1000]), minlength=buckets)
+    return out
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, buckets: int = BUCKETS) -> Model:
     """Minimise the balanced negative log likelihood with an L2 penalty, by Adam on all rows."""
-    n_docs = np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=buckets)
+    n_docs = rows_with(rows, buckets)
     # buckets whose share of documents differs between the grades by more than chance
     used = np.flatnonzero(n_docs >= MIN_DOCS)
     rate, apart = n_docs[used] / max(1, len(rows)), np.zeros(len(used))
     for grade in range(GRADES):
         own = [rows[i] for i in np.flatnonzero(grades == grade)]
         if own:
-            seen = np.bincount(np.concatenate(own), minlength=buckets)[used]
+            seen = rows_with(own, buckets)[used]
             apart = np.maximum(apart, np.abs(seen / len(own) - rate) / np.sqrt(rate * (1 - rate) / len(own) + 1e-12))
     used = used[apart >= CHANCE]
     index = np.full(buckets, -1)
@@ -190,4 +198,4 @@ def severity(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return severity(docs, learn(staged(sample(docs, labels))), ["doc_id"])
+    return severity(docs, learn(sample(docs, labels)), ["doc_id"])

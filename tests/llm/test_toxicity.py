@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from glossmeter.llm import toxicity as T
+from glossmeter.stage import staged
 
 
 def test_held_out_grades(spark):
@@ -29,6 +30,17 @@ def test_held_out_grades(spark):
     assert all(abs(r["expected_severity"] - r["p_poor"] - r["p_toxic"]) < 1e-12 for r in rows)
 
 
+def test_sample_is_not_written(spark, tmp_path, monkeypatch):
+    """The fit reads the sample once, so only the chosen labels are written before it."""
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'vile'} text {i}") for i in range(40)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    written = []
+    monkeypatch.setattr(T, "staged", lambda frame: written.append(frame.columns) or staged(frame))
+    assert T.score_documents(spark, str(tmp_path)).count() == 40
+    assert written == [["doc_id", "grade"]]
+
+
 def test_odd_rows(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert T.learn(T.sample(odd, none)) is None
