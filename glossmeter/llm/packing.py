@@ -205,7 +205,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFra
         for batch in batches:
             ids = batch.column(0).to_pylist()
             part = batch.column(2)[0].as_py() >> 33 if part is None and len(ids) else part
-            for a, b, texts in text_steps(batch.column(1)):
+            for a, b, texts in text_steps(batch.column(1), 256, 1 << 19):
                 out = [[] for _ in range(6)]
                 for doc, packed in zip(ids[a:b], cut.encode([(t or "") for t in texts])):
                     packed += tail
